@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import chat, licences, mixing, quality, sharding
+from plotweave.llm import chat, dedup, licences, mixing, quality, sharding
 from plotweave.llm.common import table
 
 
+def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
 def op2_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render_conversations(table(spark, sf_dir, "conversations"))
 
@@ -35,4 +39,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_snapshots, op3_ring_shards, op5_line_frequency, op7_licence_digests, op9_fair_mix, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_hyperminhash, op2_chat_snapshots, op3_ring_shards, op5_line_frequency, op7_licence_digests, op9_fair_mix, pipeline)}
