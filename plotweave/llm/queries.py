@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import chat, decontaminate, dedup, licences, mixing, pii, quality, sharding, token_files
+from plotweave.llm import chat, decontaminate, dedup, licences, mixing, pii, quality, sharding, substring_dedup, token_files
 from plotweave.llm.common import scratch_path, table
 
 
@@ -50,10 +50,14 @@ def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_mix(table(spark, sf_dir, "documents"))
 
 
+def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_hyperminhash, op2_chat_snapshots, op3_ring_shards, op4_token_files, op5_line_frequency, op6_spaced_seeds, op7_licence_digests, op8_disguised_pii, op9_fair_mix, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_hyperminhash, op2_chat_snapshots, op3_ring_shards, op4_token_files, op5_line_frequency, op6_spaced_seeds, op7_licence_digests, op8_disguised_pii, op9_fair_mix, op10_difference_cover, pipeline)}
