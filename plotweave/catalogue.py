@@ -1,13 +1,16 @@
-"""All registered queries and their SQL, by operator group."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-FLAGSHIP = "f1_grid_peaks"
+from plotweave.plans import aggregate_queries, cell_queries, join_queries, scalar_queries  # noqa: F401
+from plotweave.plans.registry import ORACLES, QUERIES
+
+FLAGSHIP = "f_usage_periods"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
