@@ -35,8 +35,8 @@ def lattice_cells(nodes: DataFrame) -> DataFrame:
     east = W.partitionBy("gid", "iy").orderBy("ix")
     d = nodes.withColumns({"_e": F.lead("z").over(east), "_ex": F.lead("ix").over(east)})
     north = W.partitionBy("gid", "ix").orderBy("iy")
-    d = d.withColumns({"nw": F.lead("z").over(north), "ne": F.lead("_e").over(north), "_ny": F.lead("iy").over(north)})
-    ok = (F.col("_ex") == F.col("ix") + 1) & (F.col("_ny") == F.col("iy") + 1) & F.col("ne").isNotNull()
+    d = d.withColumns({"nw": F.lead("z").over(north), "ne": F.lead("_e").over(north), "_nx": F.lead("_ex").over(north), "_ny": F.lead("iy").over(north)})
+    ok = (F.col("_ex") == F.col("ix") + 1) & (F.col("_ny") == F.col("iy") + 1) & (F.col("_nx") == F.col("ix") + 1)
     return d.where(ok).select("gid", "ix", "iy", F.col("z").alias("sw"), F.col("_e").alias("se"), "ne", "nw")
 
 
