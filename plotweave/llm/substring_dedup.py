@@ -90,8 +90,13 @@ def _packed(*arrays: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(a).tobytes() for a in arrays]
 
 
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    """A bucket for each anchor, mixed anew: anchors are least hashes, so their own top bits are nearly all zero."""
+    return (mix(h + U(9)) >> U(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
+
+
 def _anchors(bits: int):
-    """Rows (bucket, hashes, docs): all anchors of a batch, packed by the top bits of their hashes."""
+    """Rows (bucket, hashes, docs): all anchors of a batch, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +106,7 @@ def _anchors(bits: int):
                 hashes.append(h)
                 docs.append(ids[at + doc])
             h, d = np.concatenate([*hashes, np.zeros(0, U)]), np.concatenate([*docs, np.zeros(0, np.int64)])
-            bucket = (h >> U(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
+            bucket = _bucket(h, bits)
             order = np.argsort(bucket, kind="stable")
             there, first = np.unique(bucket[order], return_index=True)
             cut = np.append(first, len(h))
@@ -171,7 +176,7 @@ def _contexts(bits: int):
         least, most = np.full(len(first), LAST), np.full(len(first), np.iinfo(np.int64).min)
         np.minimum.at(least, uid, docs)
         np.maximum.at(most, uid, docs)
-        bucket = (anchors[first] >> U(64 - bits)).astype(np.int32) if bits else np.zeros(len(first), np.int32)
+        bucket = _bucket(anchors[first], bits)
         order = np.argsort(bucket, kind="stable")
         there, at = np.unique(bucket[order], return_index=True)
         cut, rows = np.append(at, len(order)), []
