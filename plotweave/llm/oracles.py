@@ -3,6 +3,21 @@
 from plotweave.llm.licence_texts import KNOWN
 from plotweave.llm.licences import COPYRIGHT_LINES, NOT_WORD, RIGHTS, SPELLINGS
 
+OP1 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS sh FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r AS (SELECT doc_id AS node, doc_id AS label FROM documents UNION SELECT e.v, r.label FROM r JOIN e ON r.node = e.u),
+c AS (SELECT node, min(label) AS label FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.label AS component_id, c.label = d.doc_id AS kept FROM d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
 OP2 = """
 WITH c AS (
   SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY turn, role, text) AS turns,
@@ -84,4 +99,20 @@ SELECT c.doc_id, size::BIGINT AS size, source_size, target, size::BIGINT * coale
 FROM c LEFT JOIN k ON c.h = k.h AND c.rnk = k.rnk AND c.doc_id IS NOT DISTINCT FROM k.doc_id
 """
 
-ORACLES = {"op2_chat_snapshots": OP2, "op5_line_frequency": OP5, "op7_licence_digests": OP7, "op9_fair_mix": OP9}
+OP10 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d WHERE length(h) >= 100)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING count(*) > 1),
+r AS (SELECT w.doc_id, p, coalesce(p - lag(p) OVER o > 50, true) AS fresh FROM w JOIN f USING (s) WHERE m < w.doc_id WINDOW o AS (PARTITION BY w.doc_id ORDER BY p)),
+g AS (SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM r),
+x AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY doc_id, k),
+c AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM x),
+k AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS gone, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head
+  FROM c JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES = {"op1_hyperminhash": OP1, "op10_difference_cover": OP10, "op2_chat_snapshots": OP2, "op5_line_frequency": OP5, "op7_licence_digests": OP7, "op9_fair_mix": OP9}
