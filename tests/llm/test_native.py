@@ -158,3 +158,28 @@ def test_licences_are_known_in_disguise(spark):
     got = {r["doc_id"]: r["licence"] for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string").withColumn("licence", F.lit(1))).collect()}
     assert got == {1: "MIT", 2: "MIT", 3: "MIT", 4: None, 5: None, 6: "ISC", None: "Zlib"}
     assert licences.scan_licences(frame(spark, [])).collect() == []
+
+
+def walked(rows, shards, nodes):
+    """The bounded-load walk, one segment after another, in plain Python."""
+    import hashlib
+
+    place = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:4], 16)
+    ring = sorted((place(f"shard#{i % shards}#{i // shards}"), i % shards) for i in range(shards * nodes))
+    size = defaultdict(int)
+    for i, text, *_ in rows:
+        size[place(str(i)) // sharding.PER_SEGMENT] += len((text or "").encode()) + 1
+    bound, loads, where = -(-sum(size.values()) // shards), [0] * shards, {}
+    for n, segment in sorted(((n, g) for g, n in size.items()), reverse=True):
+        start = segment * sharding.PER_SEGMENT
+        order = list(dict.fromkeys(s for _, s in [x for x in ring if x[0] >= start] + [x for x in ring if x[0] < start]))
+        shard = next((s for s in order if loads[s] + n <= bound), loads.index(min(loads)))
+        loads[shard] += n
+        where[segment] = shard
+    return {i: where[place(str(i)) // sharding.PER_SEGMENT] for i, *_ in rows}
+
+
+def test_shards_equal_the_walk(spark):
+    rows = documents(n=300)
+    got = {r["doc_id"]: r["shard"] for r in sharding.ring_shards(frame(spark, rows), shards=5, nodes=16).collect()}
+    assert got == walked(rows, 5, 16)
