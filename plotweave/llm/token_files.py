@@ -120,10 +120,12 @@ class WordEncoder:
             return
         for _, _, data, offsets in chunks(texts, 4_000_000):
             body = data.tobytes()
-            if b"<|" not in body:  # else a special token's name in capitals could become one
+            if b"<|" in body:  # it may hold names of special tokens, which are neither cut nor lowered
+                starts, ends, at = word_spans(data, offsets)
+            else:
                 data = LOWER[data]
                 body = data.tobytes()
-            starts, ends, at = _pieces(data, offsets)
+                starts, ends, at = _pieces(data, offsets)
             hashes, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
             spot = np.minimum(np.searchsorted(self.keys, hashes), max(0, len(self.keys) - 1))
             new = np.flatnonzero(self.keys[spot] != hashes) if len(self.keys) else np.arange(len(hashes))
@@ -146,6 +148,12 @@ def _gathered(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarra
     return values[np.repeat(first - (upto - n), n) + np.arange(upto[-1] if len(n) else 0)]
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str, whole: bool) -> WordEncoder:
+    """One for all tasks of a worker, so that each learns the common pieces once."""
+    return WordEncoder(path, whole)
+
+
 def _open(uri: str):
     """(file system, path) of a URI, e.g. file:, hdfs: or s3:."""
     return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
@@ -181,10 +189,12 @@ class ShardReader:
 
     def ordinals(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ordinal of the first document, how many) per key hash; -1 and 0 where the fingerprint denies the key."""
-        slot = self.hash.slot(hashes) if self.hash.slots else np.full(len(hashes), -1)
+        slot = self.hash.slot(hashes)
+        if not self.hash.slots:
+            return slot, np.zeros(len(hashes), np.int64)
         safe = np.maximum(slot, 0)
-        there = (slot >= 0) & (self.prints[safe] == fingerprints(hashes)) if self.hash.slots else slot >= 0
-        return np.where(there, self.ordinal[safe] if self.hash.slots else -1, -1), np.where(there, self.count[safe] if self.hash.slots else 0, 0)
+        there = (slot >= 0) & (self.prints[safe] == fingerprints(hashes))
+        return np.where(there, self.ordinal[safe].astype(np.int64), -1), np.where(there, self.count[safe].astype(np.int64), 0)
 
     def read(self, ordinal: int) -> np.ndarray:
         a, b = self.starts[ordinal], self.starts[ordinal + 1]
@@ -196,7 +206,7 @@ def _write(folder: str, tokenizer: str, end_id: int, whole: bool, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         files, root = _open(folder)
-        encode = WordEncoder(tokenizer, whole)
+        encode = _encoder(tokenizer, whole)
         hashes, sizes, last = [], [], None
         with files.open_output_stream(f"{root}/.{own}.ids") as out:
             for batch in batches:
@@ -230,9 +240,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     files, root = _open(folder)
     files.create_dir(root, recursive=True)
     dealt = mine.repartitionByRange(int(shards), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    parts = dealt.mapInArrow(_write(folder, tokenizer, end_id, whole, width), "shard long, documents long, ids long, last_key long").orderBy("shard").collect()
+    parts = dealt.mapInArrow(_write(folder, tokenizer, end_id, whole, width), "shard long, documents long, ids long, last_key long").collect()
     entries, at = [], 0
-    for p in parts:
+    for p in sorted(parts, key=lambda p: p["shard"]):
         entries.append({"shard": p["shard"], "documents": p["documents"], "ids": p["ids"], "last_key": p["last_key"], "start": at})
         at += p["ids"]
     manifest = {"width": width, "end_id": end_id, "shards": entries}
