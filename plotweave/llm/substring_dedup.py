@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import written
+from plotweave.llm.common import remove, scratch_path, written
 from plotweave.llm.suffixes import window_minima
 from plotweave.llm.wordhash import U, buffers, chunks, mix, span_hashes
 
@@ -161,15 +161,15 @@ def _shared(groups: int):
     return run
 
 
-CONTEXTS = "kind int, bucket int, grp int, anchors binary, bodies binary, sizes binary, least binary, most binary, uids binary, docs binary, places binary"
+CONTEXTS = "kind int, bucket int, grp int, leads binary, bodies binary, sizes binary, least binary, reach binary, uids binary, rows binary, places binary"
 
 
 def _contexts(bits: int):
-    """Per group: kind 1 rows, its distinct contexts by bucket, and one kind 2 row, where each of them occurs."""
+    """Per group: kind 1 rows, its distinct contexts by bucket, and one kind 2 row, where each of them occurs: in which of
+    the group's texts, numbered as they are sorted, and at which byte."""
 
     def flush(grp: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        anchors, docs, places, lead, sizes, digests = (np.concatenate([p[i] for p in parts]) for i in range(6))
-        body = np.concatenate([p[6] for p in parts])
+        anchors, docs, texts, places, lead, sizes, digests, body = (np.concatenate([p[i] for p in parts]) for i in range(8))
         begin = np.cumsum(sizes) - sizes
         key = mix(digests ^ mix(anchors + lead.astype(U)))
         _, first, uid = np.unique(key, return_index=True, return_inverse=True)
@@ -184,15 +184,15 @@ def _contexts(bits: int):
             mine = order[x:y]
             n, s = sizes[first[mine]], begin[first[mine]]
             piece = body[np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            rows.append([1, b, grp, *_packed(anchors[first[mine]], piece, n.astype(np.uint8), least[mine], most[mine], mine.astype(np.int32)), None, None])
-        rows.append([2, None, grp, None, None, None, None, None, *_packed(uid.astype(np.int32), docs, places.astype(np.int64))])
+            rows.append([1, b, grp, *_packed(lead[first[mine]].astype(np.uint8), piece, n.astype(np.uint8), least[mine], most[mine] - least[mine], mine.astype(np.int32)), None, None])
+        rows.append([2, None, grp, None, None, None, None, None, *_packed(uid.astype(np.int32), texts.astype(np.int32), places.astype(np.int64))])
         kinds = [pa.int32()] * 3 + [pa.binary()] * 8
         names = [c.split()[0] for c in CONTEXTS.split(", ")]
         for at in range(0, len(rows), 256):
             yield pa.record_batch([pa.array([r[i] for r in rows[at : at + 256]], kinds[i]) for i in range(11)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, shared, parts = None, np.zeros(0, U), []
+        now, shared, parts, seen = None, np.zeros(0, U), [], 0
         for batch in batches:
             group, bare = batch.column("grp").to_numpy(), batch.column("text").is_null().to_numpy(zero_copy_only=False)
             cut = np.r_[0, np.flatnonzero((group[1:] != group[:-1]) | (bare[1:] != bare[:-1])) + 1, len(group)]
@@ -202,7 +202,7 @@ def _contexts(bits: int):
                 if group[a] != now:
                     if parts:
                         yield from flush(now, parts)
-                    now, shared, parts = int(group[a]), np.zeros(0, U), []
+                    now, shared, parts, seen = int(group[a]), np.zeros(0, U), [], 0
                 if bare[a]:
                     got = [x for x in batch.column("hashes").slice(a, b - a).to_pylist() if x]
                     shared = np.unique(np.concatenate([shared, *[np.frombuffer(x, U) for x in got]]))
@@ -217,7 +217,8 @@ def _contexts(bits: int):
                     doc, lo, hi, anchor, h = doc[hit], lo[hit], hi[hit], anchor[hit], h[hit]
                     n = hi - lo + WINDOW - 1
                     piece = data[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                    parts.append((h, ids[at + doc], lo - offsets[doc], anchor - lo, n, _span_digests(data, lo, lo + n), piece))
+                    parts.append((h, ids[at + doc], seen + at + doc, lo - offsets[doc], anchor - lo, n, _span_digests(data, lo, lo + n), piece))
+                seen += b - a
         if parts:
             yield from flush(now, parts)
 
@@ -272,10 +273,12 @@ def _verdicts(sort_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_key(batches, "bucket"):
-            anchors, body, sizes = _joined(rows, "anchors", U), _joined(rows, "bodies", np.uint8), _joined(rows, "sizes", np.uint8).astype(np.int64)
-            least, most, uids = _joined(rows, "least", np.int64), _joined(rows, "most", np.int64), _joined(rows, "uids", np.int32)
+            leads, body, sizes = _joined(rows, "leads", np.uint8), _joined(rows, "bodies", np.uint8), _joined(rows, "sizes", np.uint8).astype(np.int64)
+            least, uids = _joined(rows, "least", np.int64), _joined(rows, "uids", np.int32)
+            most = least + _joined(rows, "reach", np.int64)
             grp = np.repeat(np.array([r["grp"] for r in rows], np.int32), [len(r["sizes"]) for r in rows])
             begin = np.cumsum(sizes) - sizes
+            anchors = _grams(body)[begin + leads]  # made again: they would not compress
             digest = np.concatenate([_span_digests(body[x : x + 1_000_000 + 2 * WINDOW], begin[m] - x, begin[m] - x + sizes[m]) for x, m in _stretches(begin)])
             whose = np.empty(len(begin), U)
             whose[np.concatenate([m for _, m in _stretches(begin)])] = digest
@@ -309,38 +312,32 @@ def _verdicts(sort_bytes: int):
     return run
 
 
-def doc_spans(rows: list[dict]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """(starts, ends) of removed bytes by doc_id, from a group's kind 2 rows and verdict rows; spans may overlap."""
-    seen, told = [r for r in rows if r["docs"] is not None], [r for r in rows if r["lengths"] is not None]
-    if not seen or not told:
-        return {}
-    uid, doc, place = _joined(seen, "uids", np.int32), _joined(seen, "docs", np.int64), _joined(seen, "places", np.int64)
+def text_spans(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    """(text, start, end, least doc_id) of windows' spans, from a group's kind 2 rows and verdict rows, by text, then start."""
+    seen, told = [r for r in rows if r["rows"] is not None], [r for r in rows if r["lengths"] is not None]
+    uid, text, place = _joined(seen, "uids", np.int32), _joined(seen, "rows", np.int32), _joined(seen, "places", np.int64)
     u, f, n, v = (_joined(told, c, t) for c, t in (("uids", np.int32), ("starts", np.uint8), ("lengths", np.uint8), ("least", np.int64)))
     order = np.argsort(u, kind="stable")
     u, f, n, v = u[order], f[order].astype(np.int64), n[order].astype(np.int64), v[order]
     a, b = np.searchsorted(u, uid, "left"), np.searchsorted(u, uid, "right")
     many = b - a
     which = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    d, p = np.repeat(doc, many), np.repeat(place, many)
-    lost = v[which] < d
-    d, start, end = d[lost], (p + f[which])[lost], (p + f[which] + n[which] - 1 + WINDOW)[lost]
-    order = np.lexsort((start, d))
-    d, start, end = d[order], start[order], end[order]
-    there, at = np.unique(d, return_index=True)
-    cut = np.append(at, len(d))
-    return {int(k): (start[x:y], end[x:y]) for k, x, y in zip(there, cut[:-1], cut[1:], strict=True)}
+    text, place = np.repeat(text, many), np.repeat(place, many)
+    start, end, v = place + f[which], place + f[which] + n[which] - 1 + WINDOW, v[which]
+    order = np.lexsort((start, text))
+    return text[order], start[order], end[order], v[order]
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of spans sorted by start; touching spans are one run."""
     reach = np.maximum.accumulate(ends)
-    first = np.flatnonzero(np.r_[True, starts[1:] > reach[:-1]])
-    return starts[first], reach[np.r_[first[1:] - 1, len(reach) - 1]]
+    first = np.flatnonzero(np.r_[True, starts[1:] > reach[:-1]]) if len(starts) else np.zeros(0, np.int64)
+    return starts[first], reach[np.r_[first[1:] - 1, len(reach) - 1]] if len(starts) else reach
 
 
 def _removed(texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, spans = None, [], None
+        now, rows, spans, seen = None, [], None, 0
         for batch in batches:
             group, bare = batch.column("grp").to_numpy(), (batch.column("kind").to_numpy() < 9)
             cut = np.r_[0, np.flatnonzero((group[1:] != group[:-1]) | (bare[1:] != bare[:-1])) + 1, len(group)]
@@ -348,20 +345,21 @@ def _removed(texts: bool):
                 if a == b:
                     continue
                 if group[a] != now:
-                    now, rows, spans = group[a], [], None
+                    now, rows, spans, seen = group[a], [], None, 0
                 part = batch.slice(a, b - a)
                 if bare[a]:
-                    rows += part.select(["uids", "docs", "places", "starts", "lengths", "least"]).to_pylist()
+                    rows += part.select(["uids", "rows", "places", "starts", "lengths", "least"]).to_pylist()
                     continue
                 if spans is None:
-                    spans, rows = doc_spans(rows), []
+                    spans, rows = text_spans(rows), []
                 ids = _ids(part.column("doc_id"))
                 data, offsets = buffers(part.column("text"))
                 out = [[] for _ in range(5)]
                 for i, d in enumerate(ids.tolist()):
                     body = data[offsets[i] : offsets[i + 1]]
-                    s, e = merged(*spans[d]) if d in spans else (np.zeros(0, int), np.zeros(0, int))
-                    e = np.minimum(e, len(body))
+                    x, y = np.searchsorted(spans[0], seen + i, "left"), np.searchsorted(spans[0], seen + i, "right")
+                    lost = spans[3][x:y] < d
+                    s, e = merged(spans[1][x:y][lost], spans[2][x:y][lost])
                     stay = np.ones(len(body), bool)
                     for x, y in zip(s.tolist(), e.tolist(), strict=True):
                         stay[x:y] = False
@@ -369,6 +367,7 @@ def _removed(texts: bool):
                     for o, value in zip(out, (len(body), len(body) - len(left), len(s), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if texts else None), strict=True):
                         o.append(value)
                 yield pa.record_batch([part.column("doc_id"), *[pa.array(out[i], pa.int64()) for i in range(3)], pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+                seen += b - a
 
     return run
 
@@ -377,9 +376,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) per row: each byte under a 50-byte string that also
     starts in a document with a smaller doc_id goes.
 
-    A null text is empty. A null doc_id counts as greater than all others; rows that share a doc_id don't take bytes
-    from each other, though if they differ in text, spans found in one may be cut from the other too, so ids should be
-    unique. kept_text leaves out the rest of characters that were cut in two. Only the two named columns are read.
+    A null text is empty. A null doc_id counts as greater than all others; rows that share a doc_id don't take bytes from
+    each other. kept_text leaves out the rest of characters that were cut in two. Only the two named columns are read.
     """
     spark = docs.sparkSession
     mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -387,28 +385,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = max(1, -(-total // GROUP_BYTES))
     bits = max(0, int(total // (16 * BUCKET_ANCHORS)).bit_length())
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << bits)
+    anchor_path, context_path = scratch_path(spark, "repeats-anchors"), scratch_path(spark, "repeats-contexts")
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(clean, None)
     spark.conf.set(clean, "true")  # each step is written before the next, so its shuffle files can go
     try:
         anchors = mine.mapInArrow(_anchors(bits), "bucket int, hashes binary, docs binary")
-        shared = written(anchors.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(groups), "grp int, hashes binary"), "repeats-anchors")
+        anchors.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(groups), "grp int, hashes binary").write.parquet(anchor_path)
+        shared = spark.read.schema("grp int, hashes binary").parquet(anchor_path)
         by_group = mine.mapInArrow(_grouped(groups), "grp int, doc_id long, text string")
         none = F.lit(None)
         lines = shared.select("grp", none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "hashes").unionByName(by_group.withColumn("hashes", none.cast("binary")))
         parts = min(groups, 4 * width)
-        contexts = written(lines.repartition(parts, "grp").sortWithinPartitions("grp", F.col("text").isNotNull()).mapInArrow(_contexts(bits), CONTEXTS), "repeats-contexts")
-        told = contexts.where("kind = 1").select("bucket", "grp", "anchors", "bodies", "sizes", "least", "most", "uids")
+        lines.repartition(parts, "grp").sortWithinPartitions("grp", F.col("text").isNotNull(), "doc_id", "text").mapInArrow(_contexts(bits), CONTEXTS).write.partitionBy("kind").parquet(context_path)
+        remove(spark, anchor_path)
+        told = spark.read.schema(CONTEXTS).parquet(context_path).where("kind = 1").select("bucket", "grp", "leads", "bodies", "sizes", "least", "reach", "uids")
         verdicts = written(told.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_verdicts(sort_bytes), "grp int, uids binary, starts binary, lengths binary, least binary"), "repeats-verdicts")
+        remove(spark, f"{context_path}/kind=1")
+        contexts = spark.read.schema(CONTEXTS).parquet(context_path)
     finally:
         spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
     empty = none.cast("binary")
     rows = (
-        contexts.where("kind = 2").select("grp", F.lit(1).alias("kind"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "uids", "docs", "places", empty.alias("starts"), empty.alias("lengths"), empty.alias("least"))
-        .unionByName(verdicts.select("grp", F.lit(2).alias("kind"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "uids", empty.alias("docs"), empty.alias("places"), "starts", "lengths", "least"))
-        .unionByName(by_group.select("grp", F.lit(9).alias("kind"), "doc_id", "text", empty.alias("uids"), empty.alias("docs"), empty.alias("places"), empty.alias("starts"), empty.alias("lengths"), empty.alias("least")))
+        contexts.where("kind = 2").select("grp", F.lit(1).alias("kind"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "uids", "rows", "places", empty.alias("starts"), empty.alias("lengths"), empty.alias("least"))
+        .unionByName(verdicts.select("grp", F.lit(2).alias("kind"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "uids", empty.alias("rows"), empty.alias("places"), "starts", "lengths", "least"))
+        .unionByName(by_group.select("grp", F.lit(9).alias("kind"), "doc_id", "text", empty.alias("uids"), empty.alias("rows"), empty.alias("places"), empty.alias("starts"), empty.alias("lengths"), empty.alias("least")))
     )
-    done = rows.repartition(parts, "grp").sortWithinPartitions("grp", "kind").mapInArrow(_removed(texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    done = rows.repartition(parts, "grp").sortWithinPartitions("grp", "kind", "doc_id", "text").mapInArrow(_removed(texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return done if texts else done.drop("kept_text")
 
 

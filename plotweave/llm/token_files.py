@@ -36,7 +36,7 @@ MAGIC = b"PWTOKIDX"
 NULL_KEY = U(0xD1B54A32D192ED03)
 #: Pieces kept in a task's table of known encodings, about 40 bytes each.
 CACHE_PIECES = 3_000_000
-SHARD_BYTES = 64_000_000
+SHARD_BYTES = 512_000_000
 LETTER = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
 #: ASCII characters that are neither letters nor white space.
 CUTS = (np.arange(256) < 128) & ~LETTER & ~SPACES
@@ -288,15 +288,29 @@ def read_tokens(keys: DataFrame, folder: str, id_col: str = "doc_id") -> DataFra
     """doc_id, start (ids of all documents before it), n_tokens (end id included), ids_crc32 for each row's key, by keyed
     access to the files. Rows that share a key get that key's documents one by one. A key that is in no index fails."""
     manifest = [s for s in read_manifest(folder)["shards"] if s["documents"]]
-    bounds = F.array(*[F.lit(s["last_key"]).cast("long") for s in manifest]) if manifest else F.array().cast("array<bigint>")
-    place = F.size(F.filter(bounds, lambda x: x.isNotNull() & (x < F.col("doc_id"))))
-    skip = sum(s["last_key"] is None for s in manifest)  # shards of null keys alone
-    numbers = F.array(*[F.lit(s["shard"]) for s in manifest]) if manifest else F.array().cast("array<bigint>")
     mine = keys.select(F.col(id_col).cast("long").alias("doc_id"))
     mine = mine.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("turn"))
-    at = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place + skip)
-    dealt = mine.withColumn("shard", F.get(numbers, at).cast("long")).repartition(F.col("shard")).sortWithinPartitions("shard", "doc_id", "turn")
+    placed = mine.mapInArrow(_placed(manifest), "doc_id long, turn long, shard long")
+    dealt = placed.repartition(max(1, len(manifest)), "shard").sortWithinPartitions("shard", "doc_id", "turn")
     return dealt.mapInArrow(_lookup(folder, {s["shard"]: s["start"] for s in manifest}), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _placed(manifest: list[dict]):
+    """Adds each key's shard, by the shards' last keys (two numbers a shard go to the tasks); nulls lie in the first."""
+    last = np.array([s["last_key"] for s in manifest if s["last_key"] is not None], dtype=np.int64)
+    numbers = np.array([s["shard"] for s in manifest], dtype=np.int64)
+    skip = len(numbers) - len(last)  # shards of null keys alone
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            at = np.searchsorted(last, ids.fill_null(0).to_numpy(zero_copy_only=False), "left") + skip
+            at = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, at)
+            if len(at) and (not len(numbers) or at.max() >= len(numbers)):
+                raise KeyError("a document is beyond the last shard")
+            yield pa.record_batch([ids, batch.column("turn"), pa.array(numbers[at] if len(at) else at, pa.int64())], names=["doc_id", "turn", "shard"])
+
+    return run
+
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
