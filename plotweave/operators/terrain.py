@@ -14,10 +14,10 @@ def snapped(z, step: float) -> Column:
 
 
 def lattice(samples: DataFrame, digits: int = 7, least: int = 4) -> DataFrame:
-    """Samples (ord, x, y, z) to a lattice keyed by rounded place, rows numbered from north; the last of equal places counts.
+    """Samples (ord, x, y, z) to a lattice keyed by rounded place, rows numbered from north; the last of equal places counts (of equal ord, the highest).
     Empty if fewer than `least` places are known."""
     p = samples.where("z is not null and not isnan(z)").withColumns({"x": half_up("x", digits), "y": half_up("y", digits)})
-    last = p.groupBy("x", "y").agg(F.max_by("z", "ord").alias("z"))
+    last = p.groupBy("x", "y").agg(F.max_by("z", F.struct("ord", "z")).alias("z"))
     n = F.count("*").over(W.partitionBy(F.lit(0)))
     placed = last.withColumns({"row": F.dense_rank().over(W.orderBy(F.col("y").desc())), "col": F.dense_rank().over(W.orderBy("x")), "_n": n})
     return placed.where(F.col("_n") >= least).drop("_n")

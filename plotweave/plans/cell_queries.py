@@ -166,7 +166,7 @@ def _(t, s):
     return terrain.seats(b, z, 3.0, "k")
 
 
-@query("o_lattice", f"WITH {CLOUD}, l AS (SELECT x, y, arg_max(z, ord) AS z FROM cloud GROUP BY ALL) SELECT dense_rank() OVER (ORDER BY y DESC) AS \"row\", dense_rank() OVER (ORDER BY x) AS col, z FROM l")
+@query("o_lattice", f"WITH {CLOUD}, l AS (SELECT x, y, arg_max(z, (ord, z)) AS z FROM cloud GROUP BY ALL) SELECT dense_rank() OVER (ORDER BY y DESC) AS \"row\", dense_rank() OVER (ORDER BY x) AS col, z FROM l")
 def _(t, s):
     """Samples to a lattice, the last of equal places counts."""
     return terrain.lattice(cloud(t)).select("row", "col", "z")
