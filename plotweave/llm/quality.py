@@ -4,9 +4,10 @@ Lines are normalised and hashed; for each host, the distinct documents with a li
 steps, so a line that a third of all documents hold is never gathered. Lines above the limits are boilerplate; they are
 removed, and documents that they make up almost wholly are rejected.
 
-Copies of one document are not evidence of boilerplate: documents count as distinct by their text and, against near
-copies, by their longest word. A line is over the limits when more than `max_docs` distinct texts of its host hold it,
-and these have more than max_docs different longest words and at least `spread` times as many as there are texts.
+Copies of one document are not evidence of boilerplate: for a line, documents count as distinct by a sketch of the rest of
+their text, the two least hashes of three-word shingles outside that line. Equal texts have one sketch, near copies mostly
+share it, and documents that have only boilerplate in common differ, however many there are. A line is over the limits when
+more than `max_docs` such documents of its host hold it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from plotweave.llm.common import SPACE, WORD, let, words, written
 
 #: Words in a window whose repeats are counted.
 WINDOW = 8
+#: Words in a shingle of a line, and least hashes that make up a document's sketch.
+SHINGLE, LEAST = 3, 2
 
 
 def repeated_window_words(w: Column, window: int = WINDOW) -> Column:
@@ -44,8 +47,20 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, SPACE, " ")))
 
 
+def least_shingles(line: Column) -> Column:
+    """The least hashes of a normalised line's shingles, in order; a line of fewer words is one shingle."""
+    w = F.transform(F.split(line, " "), lambda x: F.xxhash64(x))
+    hashes = let(w, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)])))
+    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, LEAST)
+
+
+def rest_sketch(pool: Column, h: Column) -> Column:
+    """The document's least shingle hashes outside the line h. No line has more than LEAST of the pool's 2 * LEAST."""
+    return F.xxhash64(F.transform(F.slice(F.filter(pool, lambda e: e["h"] != h), 1, LEAST), lambda e: e["s"]))
+
+
 def profile(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """One narrow row per document: base counts, text hash, longest word, distinct normalised lines with their word counts."""
+    """One narrow row per document: base counts, text hash, least shingles with their lines, normalised lines with their word counts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     base = docs.select(
@@ -53,24 +68,23 @@ def profile(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataF
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"), lines.alias("_lines"),
     )
-    longest = F.array_max(F.transform("_w", lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
     normal = F.transform("_lines", lambda x: let(normal_line(x), lambda y: F.struct(F.xxhash64(y).alias("h"), F.regexp_count(y, F.lit(WORD)).alias("n"))))
+    least = F.transform(F.array_distinct(F.transform("_lines", normal_line)), lambda y: let(F.xxhash64(y), lambda h: F.transform(least_shingles(y), lambda s: F.struct(s.alias("s"), h.alias("h")))))
     return base.select(
         "doc_id", "_host", "_text_hash", F.size("_w").cast("long").alias("n_words"), "word_chars", "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), repeated_window_words(F.col("_w")).alias("n_repeat_words"),
-        F.xxhash64(longest).alias("_sketch"), normal.alias("_normal"),
+        F.slice(F.array_sort(F.flatten(least)), 1, 2 * LEAST).alias("_pool"), normal.alias("_normal"),
     )
 
 
-def over_limit(profiles: DataFrame, max_docs: int, spread: float) -> DataFrame:
+def over_limit(profiles: DataFrame, max_docs: int) -> DataFrame:
     """(_host, h) of the lines above the limits."""
-    seen = profiles.select("_host", "_text_hash", "_sketch", F.explode(F.array_distinct("_normal")).alias("_l")).select("_host", "_text_hash", "_sketch", F.col("_l.h").alias("h"))
-    texts = seen.groupBy("_host", "h", "_sketch", "_text_hash").agg(F.lit(1).alias("one")).groupBy("_host", "h", "_sketch").agg(F.count("*").alias("texts"))
-    lines = texts.groupBy("_host", "h").agg(F.sum("texts").alias("texts"), F.count("*").alias("sketches"))
-    return lines.where((F.col("sketches") > max_docs) & (F.col("sketches") >= F.col("texts") * spread)).select("_host", "h")
+    seen = profiles.select("_host", "_pool", F.explode(F.array_distinct("_normal")).alias("_l")).select("_host", F.col("_l.h").alias("h"), rest_sketch(F.col("_pool"), F.col("_l.h")).alias("_sketch"))
+    lines = seen.groupBy("_host", "h", "_sketch").agg(F.lit(1).alias("one")).groupBy("_host", "h").agg(F.count("*").alias("documents"))
+    return lines.where(F.col("documents") > max_docs).select("_host", "h")
 
 
-def line_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 20, spread: float = 0.5, min_left: int = 30) -> tuple[DataFrame, DataFrame]:
+def line_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 20, min_left: int = 30) -> tuple[DataFrame, DataFrame]:
     """(verdicts, removed): one verdict row per input row, and the boilerplate line hashes of each (_host, _text_hash).
 
     kept is false for base failures (under 20 words, or over 30 % of them in repeated windows) and for depleted
@@ -79,7 +93,7 @@ def line_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     doc_id, so null or repeated ids do no harm.
     """
     profiles = written(profile(docs, id_col, text_col, host_col), "quality-profile")
-    limits = over_limit(profiles, max_docs, spread)
+    limits = over_limit(profiles, max_docs)
     keys = ["_host", "_text_hash"]
     lines = profiles.dropDuplicates(keys).select(*keys, F.explode("_normal").alias("_l")).select(F.col("_host").alias("_ehost"), "_text_hash", F.col("_l.h").alias("_eh"), F.col("_l.n").alias("_n"))
     hit = lines.join(limits, F.col("_ehost").eqNullSafe(F.col("_host")) & (F.col("_eh") == F.col("h")))
@@ -87,7 +101,7 @@ def line_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce(F.col("_gone"), F.lit(0))
     verdicts = (
-        profiles.drop("_normal", "_sketch")
+        profiles.drop("_normal", "_pool")
         .join(removed.drop("_hashes"), F.col("_ehost").eqNullSafe(F.col("_host")) & (F.col("_text_hash") == F.col("_ethash")), "left")
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),

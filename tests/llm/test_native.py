@@ -143,6 +143,23 @@ def test_boilerplate_goes_copies_stay(spark):
     assert set(cleaned) == kept and all(menu not in cleaned[i] for i in range(40)) and cleaned[200] == rows[45][1] and menu in cleaned[300]
 
 
+def test_boilerplate_with_the_longest_word_goes(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    line = "read more at https://host.example/a/very/long/address/that/all/of/these/documents/hold.html"
+    rows = [(i, f"{line}\nall pages share this footer\n{text(60)}", "en", "host", 0) for i in range(40)]
+    rows += [(100 + i, f"{line}\n{text(60)}", "en", "few", 0) for i in range(20)]
+    cleaned = {r["doc_id"]: r["text"] for r in quality.clean_documents(frame(spark, rows)).collect()}
+    assert all("\n" not in cleaned[i] for i in range(40)) and all(line in cleaned[100 + i] for i in range(20))
+
+
+def test_boilerplate_of_many_documents_with_few_longest_words_goes(spark):
+    rng = random.Random(6)
+    text = lambda i: " ".join(["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(40)] + [f"longest-word-{i % 30:02}"])
+    rows = [(i, f"subscribe to our letter\n{text(i)}", "en", "host", 0) for i in range(120)]
+    assert all("subscribe" not in r["text"] for r in quality.clean_documents(frame(spark, rows)).collect())
+
+
 def test_quality_of_odd_rows(spark):
     d = odd_frame(spark, documents())
     verdicts, _ = quality.line_frequency(d)
