@@ -195,7 +195,7 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
     for kind, a, b in base_spans(tape.text):
         span = (kind, tape.source[a][0], tape.source[b - 1][1])
         rewritten = any(tape.changed[a:b]) or span[2] - span[1] != b - a
-        if rewritten and not any(s[1] < span[2] and span[1] < s[2] for s in taken[kind]):
+        if rewritten and not any(s[1] <= span[1] and span[2] <= s[2] for s in taken[kind]):
             added.append(span)
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2])) if added else base
 
@@ -221,17 +221,18 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and disguised), n_disguised per row.
 
     Offsets are code points of the whole text, ends exclusive. A null text is empty. Null and repeated ids stay as they
-    are. An added span that overlaps a base span of its kind is left out. Only the two named columns are read.
+    are. An added span that is equal to or inside a base span of its kind is left out; one that reaches further is
+    added, and the base span stays. Only the two named columns are read.
     """
     mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return mine.mapInArrow(_scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long")
 
 
 def redacted(text: str) -> str:
-    """The text with each span replaced by its kind in brackets; where spans of two kinds overlap, the first one counts."""
-    out, at = [], 0
+    """The text with each span replaced by its kind in brackets; overlapping spans go together, by the kind of the first one."""
+    out, at, end = [], 0, 0
     for kind, a, b in sorted(all_spans(text)[1], key=lambda s: (s[1], -s[2])):
-        if a >= at:
+        if a >= end:
             out += [text[at:a], f"[{kind}]"]
-            at = b
+        at = end = max(end, b)
     return "".join([*out, text[at:]])

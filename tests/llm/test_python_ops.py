@@ -126,6 +126,22 @@ def test_disguises_map_back(text, kind, found):
     assert [(k, text[a:b]) for k, a, b in added] == [(kind, found)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("to jоhn@example.com now", "email", "jоhn@example.com"),
+        ("to john@example.cоm now", "email", "john@example.cоm"),
+        ("to john@exаmple.com now", "email", "john@exаmple.com"),
+        ("on +1 743 555 382４ now", "phone", "+1 743 555 382４"),
+    ],
+)
+def test_disguises_around_base_fragments(text, kind, found):
+    base, every = pii.all_spans(text)
+    assert [s for s in every if s in base] == base
+    assert [(k, text[a:b]) for k, a, b in every if (k, a, b) not in base] == [(kind, found)]
+    assert pii.redacted(text) == text.replace(found, f"[{kind}]")
+
+
 @pytest.mark.parametrize("text", ["we met at the dot of noon", "one two three four and so on", "look at example.com today", "Это обычный текст.", "naïve café déjà vu at home dot", "chapter one two, page three", ""])
 def test_clean_texts_are_left_alone(text):
     assert pii.all_spans(text) == ([], [])
