@@ -1,8 +1,8 @@
 """Personal data, plain and disguised, with offsets into the source.
 
 Plain identifiers are found by fixed patterns on the text as it is. Then transducers rewrite the text - look-alike
-characters, spelled digits, at/dot disguises - and keep for every character where it came from; the same patterns run on
-the rewritten text, and what they find over rewritten characters is mapped back to source spans and added.
+characters, spelled digits, at/dot disguises - and keep for every character where it came from; after each of them the same
+patterns run on the rewritten text, and what they find over rewritten characters is mapped back to source spans and added.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotweave.llm.domain_endings import ENDINGS
+
 KINDS = ("email", "ip", "card", "phone")
 
 #: The base patterns, with look-behinds and possessive repeats where they change nothing but the time on long runs.
@@ -36,7 +38,6 @@ INVISIBLE = "­​‌‍⁠﻿"
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-PAIR = re.compile(r"[ZzOoTtFfSsEeNn](?:ero|h|ne|wo|hree|our|ive|ix|even|ight|ine|ERO|H|NE|WO|HREE|OUR|IVE|IX|EVEN|IGHT|INE)(?<!\w\w\w\w\w\w)[\s,.()-]{1,3}[ZzOoTtFfSsEeNn](?:ero|h|ne|wo|hree|our|ive|ix|even|ight|ine|ERO|H|NE|WO|HREE|OUR|IVE|IX|EVEN|IGHT|INE)(?!\w)")
 RUN = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]+)?(?:{_WORD}|[0-9]+)(?:[\s,.()-]{{1,3}}(?:{_WORD}|[0-9]+))+(?!\w)")
 ONE = re.compile(rf"(?i)plus[\s-]+|{_WORD}|[0-9]|[\s,.()-]+")
 _AT = r"(?:\s{0,2}[\[({<]\s?(?:at|@)\s?[\])}>]\s{0,2}|\s{1,2}at\s{1,2}|\s{1,2}@\s{1,2}|@)"
@@ -46,8 +47,6 @@ MAIL = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-]){_LOCAL}(?:{_DOT}{_LOCAL}){{0,4}}{
 ADDRESS = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
 #: What shows that a text may hold an at/dot disguise.
 HINT = re.compile(r"[Dd][Oo][Tt]\b|[\[({<]\s?(?:[Aa][Tt]|[.@])\s?[\])}>]|\s@|@\s")
-#: Domain endings that are believed after bare words.
-ENDINGS = frozenset("com org net edu gov mil int info biz io ai app dev co uk us eu de fr es it nl at ch be ca au nz jp cn in br mx ru pl se no dk fi".split())
 AT, DOT = re.compile(rf"(?i){_AT}"), re.compile(rf"(?i){_DOT}")
 
 
@@ -132,13 +131,14 @@ def homoglyph_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def digit_edits(text: str) -> list[tuple[int, int, str]]:
-    """Spelled digits in runs of at least four become digits; what parts them becomes at most one space or full stop."""
+    """Spelled digits in runs become digits, however few; what parts them becomes at most one space or full stop."""
     out = []
-    if not PAIR.search(text):
+    lower = text.lower()
+    if not any(word in lower for word in SPELLED):
         return out
     for m in RUN.finditer(text):
         pieces = list(ONE.finditer(text, m.start(), m.end()))
-        if sum(p[0].lower() in SPELLED for p in pieces) < 4:
+        if not any(p[0].lower() in SPELLED for p in pieces):
             continue
         for p in pieces:
             word = p[0].lower()
@@ -152,7 +152,10 @@ def digit_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def disguise_edits(text: str) -> list[tuple[int, int, str]]:
-    """at/dot disguises inside what has the shape of an address. A bare `at` counts only before a disguised dot."""
+    """at/dot disguises inside what has the shape of an address. A bare `at` counts only before a disguised dot.
+
+    After bare words only, the last label must be a top-level domain, or prose such as `met at the dot of noon` would count.
+    """
     out = []
     if not HINT.search(text):
         return out
@@ -162,7 +165,7 @@ def disguise_edits(text: str) -> list[tuple[int, int, str]]:
         later = [d for d in dots if d.start() > at[0].start()]
         if at[0][0].strip().lower() == "at":
             plain = all(d[0].strip().lower() in ("dot", ".") for d in dots)
-            if not later or plain and text[later[-1].end() : m.end()].lower() not in ENDINGS:
+            if not later or plain and text[later[-1].end() : m.end()].lower().rpartition(".")[2] not in ENDINGS:
                 continue
         elif at[0][0] != "@" and at[0][0].strip() == "@" and not dots:
             continue
@@ -173,30 +176,36 @@ def disguise_edits(text: str) -> list[tuple[int, int, str]]:
     return [e for i, e in enumerate(out) if i == 0 or e[0] >= out[i - 1][1]]
 
 
-def disguised(text: str) -> Tape | None:
-    """The text rewritten, or None if there is nothing to rewrite."""
+def disguised(text: str) -> Iterator[Tape]:
+    """The text after each rewriting that changes it, on one tape."""
     tape, now = None, text
     for find in (homoglyph_edits, digit_edits, disguise_edits):
         if edits := find(now):
             tape = tape or Tape(text)
             tape.replaced(edits)
             now = tape.text
-    return tape
+            yield tape
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, base and added spans), each by kind, then start."""
     base = base_spans(text)
-    tape = disguised(text)
-    if tape is None:
+    found = set()
+    for tape in disguised(text):
+        for kind, a, b in base_spans(tape.text):
+            span = (kind, tape.source[a][0], tape.source[b - 1][1])
+            if any(tape.changed[a:b]) or span[2] - span[1] != b - a:
+                found.add(span)
+    if not found:
         return base, base
-    taken = {k: [s for s in base if s[0] == k] for k in KINDS}
     added = []
-    for kind, a, b in base_spans(tape.text):
-        span = (kind, tape.source[a][0], tape.source[b - 1][1])
-        rewritten = any(tape.changed[a:b]) or span[2] - span[1] != b - a
-        if rewritten and not any(s[1] <= span[1] and span[2] <= s[2] for s in taken[kind]):
-            added.append(span)
+    for kind in KINDS:
+        mine = sorted([(a, -b, 0) for k, a, b in base if k == kind] + [(a, -b, 1) for k, a, b in found if k == kind])
+        reach = -1
+        for a, b, new in mine:
+            if new and -b > reach:
+                added.append((kind, a, -b))
+            reach = max(reach, -b)
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2])) if added else base
 
 

@@ -142,6 +142,27 @@ def test_disguises_around_base_fragments(text, kind, found):
     assert pii.redacted(text) == text.replace(found, f"[{kind}]")
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        *[(f"ask jane dot roe at corp dot {x} now", "email", f"jane dot roe at corp dot {x}") for x in ("kr", "cz", "pt", "gr", "ie", "za", "tr", "sg", "tv", "online", "xyz", "example")],
+        ("ask jane at corp dot co.kr now", "email", "jane at corp dot co.kr"),
+        ("call plus one (743) five five 5 3824 now", "phone", "plus one (743) five five 5 3824"),
+        ("call +1 seven 4 three 5 five 5 three 8 two 4 now", "phone", "+1 seven 4 three 5 five 5 three 8 two 4"),
+        ("card 4111 1111 1111 111 one now", "card", "4111 1111 1111 111 one"),
+        ("for one, 4111 1111 1111 111１ now", "card", "4111 1111 1111 111１"),
+    ],
+)
+def test_disguises_with_few_marks_are_found(text, kind, found):
+    base, every = pii.all_spans(text)
+    assert [(k, text[a:b]) for k, a, b in every if (k, a, b) not in base] == [(kind, found)]
+
+
+@pytest.mark.parametrize("text", ["page one of 12", "at 5 or six, on 10 one day", "plus two", "one, two, three"])
+def test_few_spelled_digits_are_no_identifier(text):
+    assert pii.all_spans(text) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["we met at the dot of noon", "one two three four and so on", "look at example.com today", "Это обычный текст.", "naïve café déjà vu at home dot", "chapter one two, page three", ""])
 def test_clean_texts_are_left_alone(text):
     assert pii.all_spans(text) == ([], [])
