@@ -60,3 +60,21 @@ KNOWN = {
     "GPL-3.0 (notice)": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 (notice)": "Licensed under CC BY-NC 4.0.",
 }
+
+#: SHA-256 of the canonical forms of full licences, as Debian ships them in /usr/share/common-licenses.
+FULL_DIGESTS = {
+    "Apache-2.0": "9c4d471809a25cd2445360b904f6c85e522be6fef6e1f7462e21f31db8896519",
+    "Apache-2.0 (no appendix)": "0376fbd9ea0ddea828183542d1540264744d9bab59bf617bdcc7ab10ccea255c",
+    "Artistic-1.0-Perl": "e52250d769ff711c1a04996f474d60ff062a680546c6baf8b76ce50e1e5f6dd1",
+    "CC0-1.0": "c8822a12bb596eda3abd7cb3cf2117a8fbf626ed60d9d5d9bda63e836eb7f09d",
+    "GFDL-1.2": "b2adbb7f22c32c9217a7e3fbf344068c72203c0002d6e5a11eecbb43dfd5b4ae",
+    "GFDL-1.3": "4e2013887766abfb18600d66252bf85ed738c228fa082e01fcf953afbc5bd3d0",
+    "GPL-1.0": "57d421df06df8f4667d4fff6746e61e1769358f130a7bcc4be26dc41216c724d",
+    "GPL-2.0": "c88338aac528a84c17073f24d919cbe7b15e63143024b25e2a905d9f344dedaf",
+    "GPL-3.0": "bd59f54e09774f480a43d07abdde96ace1f2d9cfa4074e84d3d1ac8b70dd45b2",
+    "LGPL-2.0": "d3b584de47fa8e87c9ab21e386e0a7fd7c9cfe750510c05d36cd5041bda1cd85",
+    "LGPL-2.1": "111277ff6dd4e07e51b46c87d054e3195051a3cbea9d9ec29e30c7cd302a0ebc",
+    "LGPL-3.0": "8e3b59e0c5c93d34fda7b8dba2cffff98d7a1ca97ef3c09ee49ab0e1c92338ac",
+    "MPL-1.1": "769ca511e7107770841e98b8c1831c741c65ea88f16dd4d2be5fefc5ad9c04c4",
+    "MPL-2.0": "3912cd2abe65769114fdafa2e7f92939c9eec02b5405577df3885e44016380a1",
+}

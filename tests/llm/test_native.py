@@ -1,3 +1,4 @@
+import pathlib
 import random
 import re
 from collections import defaultdict
@@ -177,6 +178,34 @@ def test_licences_are_known_in_disguise(spark):
     assert licences.scan_licences(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("width", [40, 60, 72, 76, 80, 100])
+def test_licences_are_known_at_any_wrap(spark, width):
+    import textwrap
+
+    wrapped = {k: "\n\n".join("\n".join(textwrap.wrap(p, width)) for p in v.split("\n")) for k, v in KNOWN.items()}
+    wrapped |= {f"notice {i}": f"{n}\n\n{KNOWN['ISC']}" for i, n in enumerate(("Copyright (c) 2020 Jane Roe", "Copyright 2020-2024, Jane Roe", "Copyright Jane Roe", "(c) Jane Roe", "# Copyright: Jane Roe", "Copyright © Jane Roe", "Copyright <YEAR> <OWNER>"))}
+    got = {r["doc_id"]: r["licence"] for r in licences.scan_licences(spark.createDataFrame(list(wrapped.items()), "doc_id string, text string")).collect()}
+    assert got == {k: "ISC" if k.startswith("notice ") else k for k in wrapped}
+
+
+def test_body_lines_that_begin_with_copyright_stay(spark):
+    line = "provided that the above\ncopyright notice and this permission notice appear in all copies."
+    text = KNOWN["ISC"].replace("provided that the above copyright notice and this permission notice appear in all copies.", line)
+    assert text != KNOWN["ISC"]
+    got = licences.scan_licences(spark.createDataFrame([(1, text), (2, KNOWN["BSD-3-Clause"].replace("the copyright holder nor", "the\ncopyright holder nor"))], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["licence"] for r in got} == {1: "ISC", 2: "BSD-3-Clause"}
+
+
+@pytest.mark.parametrize(("name", "file"), [("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("MPL-2.0", "MPL-2.0")])
+def test_full_licences_are_known(spark, name, file):
+    path = pathlib.Path("/usr/share/common-licenses") / file
+    if not path.exists():
+        pytest.skip("no licence texts on this machine")
+    rows = [(1, path.read_text()), (2, path.read_text().upper()), (3, path.read_text() + " and more")]
+    got = {r["doc_id"]: r["licence"] for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: name, 2: name, 3: None}
+
+
 def walked(rows, shards, nodes):
     """The bounded-load walk, one segment after another, in plain Python."""
     import hashlib
