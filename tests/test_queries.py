@@ -1,3 +1,6 @@
+import math
+from collections import defaultdict
+
 import pytest
 
 from plotweave import catalogue
@@ -18,6 +21,23 @@ def test_query_is_repeatable(spark, name):
     assert first == from_spark(catalogue.queries()[name](spark, SF))
 
 
+def test_stations_equal_a_walk_along_all_points(spark):
+    lines, want = defaultdict(list), {}
+    for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority").collect():
+        lines[r["o_orderpriority"]].append((r["o_orderkey"], r["o_custkey"] * 37 % 997 * 0.5, r["o_orderkey"] * 53 % 991 * 0.5))
+    for kind, line in lines.items():
+        along, k = 0.0, 0
+        for (_, x, y), (_, a, b) in zip(sorted(line), sorted(line)[1:]):
+            n = math.hypot(a - x, b - y)
+            while k * 25.0 < along + n:
+                f = (k * 25.0 - along) / n
+                want[kind, k] = (x + f * (a - x), y + f * (b - y))
+                k += 1
+            along += n
+    got = {(r["kind"], r["k"]): (r["x"], r["y"]) for r in catalogue.queries()["g_stations"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(math.dist(got[i], want[i]) < 1e-3 for i in want)
+
+
 def test_entry_needs_no_llm(monkeypatch):
     import builtins
     import importlib
