@@ -3,13 +3,14 @@
 A suffix array of the whole corpus would move every byte many times, while only suffixes that share 50 bytes with another
 document matter. So the suffixes are dealt by content, and each part is sorted by the difference-cover algorithm:
 
-1. Anchors: the 20-byte gram of least hash in each 50-byte window. Equal windows have equal anchors at equal places. Anchors are
+1. Anchors: the least hash among the 20-byte grams of each 50-byte window; equal windows have equal anchors. Anchors are
    counted, packed as raw hashes, and those in a single document drop out.
-2. The windows of one surviving anchor occurrence overlap in one context of at most 80 bytes. Equal contexts in a group of
-   documents are sent once, with their least and greatest doc_id, so a line that many documents share stays small.
-3. Contexts meet by anchor. Each part's contexts are suffix-sorted (triples at places 1 and 2 modulo 3 are named, the
-   names sorted in turn, the rest merged) and adjacent suffixes compared; each window learns the least doc_id that holds it.
-   An anchor with too many contexts is cut into single windows, dealt by content.
+2. Up to 31 neighbouring windows of one surviving anchor overlap in one context of at most 80 bytes. Equal contexts in a
+   group of documents are sent once, with their least and greatest doc_id, so a line that many documents share, or a text
+   that repeats itself, stays small. Hashes propose that contexts are equal, their bytes decide.
+3. Contexts meet by anchor. An anchor with a single context needs no sorting. The others are suffix-sorted (triples at places
+   1 and 2 modulo 3 are named, the names sorted in turn, the rest merged) and adjacent suffixes compared; each window
+   learns the least doc_id that holds it. An anchor with too many contexts is cut into single windows, dealt by content.
 4. What each context learned goes back to the documents' group, where spans are joined and bytes removed.
 """
 
@@ -30,10 +31,12 @@ from plotweave.llm.wordhash import U, buffers, chunks, mix, span_hashes
 WINDOW, GRAM = 50, 20
 SPREAD = WINDOW - GRAM + 1
 #: Bytes of text in a group of documents, anchors in a bucket, and context bytes sorted at once.
-GROUP_BYTES, BUCKET_ANCHORS, SORT_BYTES = 4_000_000, 500_000, 1_500_000
+GROUP_BYTES, BUCKET_ANCHORS, SORT_BYTES = 4_000_000, 500_000, 300_000
 #: Null ids come last, and never lose to each other.
 LAST = np.iinfo(np.int64).max
-_PLACE = 22
+#: Windows looked at together, so that their hashes stay in cache, and the bits that a place among them takes.
+BLOCK, _PLACE = 1 << 17, 18
+_LOW = U((1 << _PLACE) - 1)
 _BYTE = mix(np.arange(256, dtype=U) + U(41))
 
 
@@ -48,40 +51,83 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 def window_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, first window, window after the last, anchor's place, anchor's hash) of each run of windows with one anchor.
-    Places are in data; windows don't cross texts."""
+    """(text, first window, window after the last, anchor's place, anchor) of each run of at most SPREAD windows with one
+    anchor. Places are in data; windows don't cross texts; an anchor is the upper bits of a gram's hash."""
     out = []
-    step = (1 << _PLACE) - WINDOW
-    for base in range(0, max(1, len(data) - WINDOW + 1), step):
-        part = data[base : base + step + WINDOW - 1]
+    for base in range(0, max(1, len(data) - WINDOW + 1), BLOCK):
+        part = data[base : base + BLOCK + WINDOW - 1]
         if len(part) < WINDOW:
             break
-        h = _grams(part)
-        low = U((1 << _PLACE) - 1)
-        m = (h & ~low) | (low - np.arange(len(h), dtype=U))
+        m = _grams(part)
+        m = (m & ~_LOW) | np.arange(len(m), dtype=U)
         for d in (1, 2, 4, 8):
             m = np.minimum(m[:-d], m[d:])
         m = np.minimum(m[: -(SPREAD - 16)], m[SPREAD - 16 :])
-        anchor = (low - (m & low)).astype(np.int64)
-        change = np.zeros(len(m) + base + WINDOW + 1, np.int8)
-        a = np.clip(offsets[:-1], base, base + len(m))
-        b = np.maximum(a, np.clip(offsets[1:] - (WINDOW - 1), base, base + len(m)))
-        full = b > a
-        np.add.at(change, a[full], 1)
-        np.add.at(change, b[full], -1)
-        inside = np.flatnonzero(np.cumsum(change[base : base + len(m)], dtype=np.int64) > 0)
+        near = slice(max(0, int(np.searchsorted(offsets, base, "right")) - 1), int(np.searchsorted(offsets, base + len(m), "left")) + 1)
+        edge = offsets[near] - base
+        a = np.clip(edge[:-1], 0, len(m))
+        b = np.maximum(a, np.clip(edge[1:] - (WINDOW - 1), 0, len(m)))
+        change = np.zeros(len(m) + 1, np.int32)
+        np.add.at(change, a, 1)
+        np.add.at(change, b, -1)
+        inside = np.flatnonzero(np.cumsum(change[:-1]) > 0)
         if not len(inside):
             continue
-        first = np.flatnonzero(np.r_[True, (inside[1:] != inside[:-1] + 1) | (anchor[inside[1:]] != anchor[inside[:-1]])])
+        anchor = m[inside] & ~_LOW
+        first = np.flatnonzero(np.r_[True, (inside[1:] != inside[:-1] + 1) | (anchor[1:] != anchor[:-1])])
+        length = np.diff(np.append(first, len(inside)))
+        pieces = -(-length // SPREAD)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(first, pieces) + SPREAD * nth
+        length = np.minimum(SPREAD, np.repeat(length, pieces) - SPREAD * nth)
         starts = inside[first]
-        stops = inside[np.r_[first[1:] - 1, len(inside) - 1]] + 1
         doc = np.searchsorted(offsets, starts + base, "right") - 1
-        out.append((doc, starts + base, stops + base, anchor[starts] + base, h[anchor[starts]]))
+        out.append((doc, starts + base, starts + base + length, (m[starts] & _LOW).astype(np.int64) + base, anchor[first]))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The spans' bytes, one after the other, gathered by the 100,000 spans."""
+    out = np.empty(int(sizes.sum()), np.uint8)
+    at = 0
+    for i in range(0, len(starts), 100_000):
+        n = sizes[i : i + 100_000]
+        to = at + int(n.sum())
+        out[at:to] = data[np.repeat(starts[i : i + 100_000] - (np.cumsum(n) - n), n) + np.arange(to - at)]
+        at = to
+    return out
+
+
+def _digests(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, salt: int = 77) -> np.ndarray:
+    """A hash of each span (2 * WINDOW bytes at most), made by the BLOCK of bytes it starts in."""
+    out = np.empty(len(starts), U)
+    shelf = starts // BLOCK
+    order = np.argsort(shelf, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(shelf[order])) + 1):
+        if len(part):
+            base = int(shelf[part[0]]) * BLOCK
+            s = starts[part] - base
+            out[part] = span_hashes(data[base : base + BLOCK + 2 * WINDOW], s, s + sizes[part], salt=salt)
+    return out
+
+
+def _kinds(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, kind): spans of equal key, size and bytes are one kind, first holds one span of each. Bytes are compared."""
+    salt = 77
+    while True:
+        _, first, kind = np.unique(mix(_digests(data, starts, sizes, salt) ^ key), return_index=True, return_inverse=True)
+        twin = first[kind]
+        copies = np.flatnonzero(twin != np.arange(len(twin)))
+        twin = twin[copies]
+        if (key[copies] == key[twin]).all() and (sizes[copies] == sizes[twin]).all():
+            cuts = range(0, len(copies), 100_000)
+            if all(np.array_equal(_gathered(data, starts[copies[i : i + 100_000]], sizes[copies[i : i + 100_000]]), _gathered(data, starts[twin[i : i + 100_000]], sizes[twin[i : i + 100_000]])) for i in cuts):
+                return first, kind
+        salt += 1  # two different spans had one hash
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -169,21 +215,24 @@ def _contexts(bits: int):
     the group's texts, numbered as they are sorted, and at which byte."""
 
     def flush(grp: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        anchors, docs, texts, places, lead, sizes, digests, body = (np.concatenate([p[i] for p in parts]) for i in range(8))
+        base = np.cumsum([0] + [len(p[0]) for p in parts])
+        anchors, lead, sizes, low, high, body = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        local = np.concatenate([p[6] + b for p, b in zip(parts, base, strict=False)])
+        texts, places = (np.concatenate([p[i] for p in parts]) for i in (7, 8))
         begin = np.cumsum(sizes) - sizes
-        key = mix(digests ^ mix(anchors + lead.astype(U)))
-        _, first, uid = np.unique(key, return_index=True, return_inverse=True)
+        first, kind = _kinds(body, begin, sizes, mix(anchors + lead.astype(U)))
+        uid = kind[local]
         least, most = np.full(len(first), LAST), np.full(len(first), np.iinfo(np.int64).min)
-        np.minimum.at(least, uid, docs)
-        np.maximum.at(most, uid, docs)
+        np.minimum.at(least, kind, low)
+        np.maximum.at(most, kind, high)
         bucket = _bucket(anchors[first], bits)
         order = np.argsort(bucket, kind="stable")
         there, at = np.unique(bucket[order], return_index=True)
         cut, rows = np.append(at, len(order)), []
         for b, x, y in zip(there.tolist(), cut[:-1], cut[1:], strict=True):
             mine = order[x:y]
-            n, s = sizes[first[mine]], begin[first[mine]]
-            piece = body[np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            n = sizes[first[mine]]
+            piece = _gathered(body, begin[first[mine]], n)
             rows.append([1, b, grp, *_packed(lead[first[mine]].astype(np.uint8), piece, n.astype(np.uint8), least[mine], most[mine] - least[mine], mine.astype(np.int32)), None, None])
         rows.append([2, None, grp, None, None, None, None, None, *_packed(uid.astype(np.int32), texts.astype(np.int32), places.astype(np.int64))])
         kinds = [pa.int32()] * 3 + [pa.binary()] * 8
@@ -191,6 +240,19 @@ def _contexts(bits: int):
         for at in range(0, len(rows), 256):
             yield pa.record_batch([pa.array([r[i] for r in rows[at : at + 256]], kinds[i]) for i in range(11)], names=names)
 
+    def part(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, seen: int, shared: np.ndarray) -> tuple | None:
+        """A chunk's distinct contexts (anchor, lead, size, least and greatest doc_id, bytes) and where each occurs."""
+        doc, lo, hi, anchor, h = window_runs(data, offsets)
+        hit = shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h
+        if not hit.any():
+            return None
+        doc, lo, anchor, h, n = doc[hit], lo[hit], anchor[hit], h[hit], (hi - lo)[hit] + WINDOW - 1
+        first, kind = _kinds(data, lo, n, mix(h + (anchor - lo).astype(U)))
+        low, high = np.full(len(first), LAST), np.full(len(first), np.iinfo(np.int64).min)
+        np.minimum.at(low, kind, ids[doc])
+        np.maximum.at(high, kind, ids[doc])
+        return h[first], (anchor - lo)[first], n[first], low, high, _gathered(data, lo[first], n[first]), kind, seen + doc, lo - offsets[doc]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, shared, parts, seen = None, np.zeros(0, U), [], 0
         for batch in batches:
@@ -211,13 +273,8 @@ def _contexts(bits: int):
                     continue
                 ids = _ids(batch.column("doc_id").slice(a, b - a))
                 for at, _, data, offsets in chunks(batch.column("text").slice(a, b - a)):
-                    doc, lo, hi, anchor, h = window_runs(data, offsets)
-                    spot = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
-                    hit = shared[spot] == h
-                    doc, lo, hi, anchor, h = doc[hit], lo[hit], hi[hit], anchor[hit], h[hit]
-                    n = hi - lo + WINDOW - 1
-                    piece = data[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                    parts.append((h, ids[at + doc], seen + at + doc, lo - offsets[doc], anchor - lo, n, _span_digests(data, lo, lo + n), piece))
+                    got = part(data, offsets, ids[at:], seen + at, shared)
+                    parts += [got] if got else []
                 seen += b - a
         if parts:
             yield from flush(now, parts)
@@ -225,16 +282,18 @@ def _contexts(bits: int):
     return run
 
 
-def _span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(data, starts, ends, salt=77) if len(starts) else np.zeros(0, U)
-
-
 def _minima(anchors: np.ndarray, body: np.ndarray, begin: np.ndarray, sizes: np.ndarray, least: np.ndarray, sort_bytes: int) -> np.ndarray:
     """The least doc_id of each window of each context, in order. Contexts are sorted by anchor."""
     count = sizes - WINDOW + 1
+    edge = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1], True])
+    several = np.repeat(np.diff(edge) > 1, np.diff(edge))
+    if not several.all():  # windows of an anchor's only context are in no other
+        out = np.repeat(least, count)
+        if several.any():
+            out[np.repeat(several, count)] = _minima(anchors[several], body, begin[several], sizes[several], least[several], sort_bytes)
+        return out
     out = np.empty(int(count.sum()), np.int64)
     at = np.cumsum(count) - count
-    edge = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1], True])
     weight = np.r_[0, np.cumsum(sizes + 1)]
     i = 0
     while i < len(edge) - 1:
@@ -246,10 +305,7 @@ def _minima(anchors: np.ndarray, body: np.ndarray, begin: np.ndarray, sizes: np.
         else:  # one anchor in too many contexts: single windows, dealt by content
             start = np.repeat(begin[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             value = np.repeat(least[a:b], n)
-            digest = np.concatenate([_span_digests(body[x : x + 1_000_000 + WINDOW], start[m] - x, start[m] - x + WINDOW) for x, m in _stretches(start)])
-            order = np.concatenate([m for _, m in _stretches(start)])
-            whose = np.empty(len(start), U)
-            whose[order] = digest
+            whose = _digests(body, start, np.full(len(start), WINDOW))
             deals = max(1, int(len(start) * (WINDOW + 1) // sort_bytes))
             deal = (whose % U(deals)).astype(np.int64)
             part = out[at[a] : at[a] + n.sum()]
@@ -260,11 +316,15 @@ def _minima(anchors: np.ndarray, body: np.ndarray, begin: np.ndarray, sizes: np.
     return out
 
 
-def _stretches(start: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Starts dealt by the million bytes they lie in."""
-    shelf = start // 1_000_000
-    for s in np.unique(shelf).tolist():
-        yield s * 1_000_000, np.flatnonzero(shelf == s)
+def _lost(minima: np.ndarray, base: np.ndarray, count: np.ndarray, most: np.ndarray, first_owner: int) -> tuple[np.ndarray, ...]:
+    """(context, first window, least doc_id, windows) of the runs of windows that a smaller doc_id than the greatest holds."""
+    owner = np.repeat(np.arange(len(count)), count)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    m = minima[base[owner] + offset]
+    hit = np.flatnonzero(m < most[owner])
+    o, f, v = owner[hit], offset[hit], m[hit]
+    first = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (f[1:] != f[:-1] + 1) | (v[1:] != v[:-1])]) if len(hit) else hit
+    return o[first] + first_owner, f[first], v[first], np.diff(np.append(first, len(hit)))
 
 
 def _verdicts(sort_bytes: int):
@@ -278,30 +338,20 @@ def _verdicts(sort_bytes: int):
             most = least + _joined(rows, "reach", np.int64)
             grp = np.repeat(np.array([r["grp"] for r in rows], np.int32), [len(r["sizes"]) for r in rows])
             begin = np.cumsum(sizes) - sizes
-            anchors = _grams(body)[begin + leads]  # made again: they would not compress
-            digest = np.concatenate([_span_digests(body[x : x + 1_000_000 + 2 * WINDOW], begin[m] - x, begin[m] - x + sizes[m]) for x, m in _stretches(begin)])
-            whose = np.empty(len(begin), U)
-            whose[np.concatenate([m for _, m in _stretches(begin)])] = digest
-            order = np.lexsort((whose, anchors))
-            fresh = np.r_[True, (anchors[order][1:] != anchors[order][:-1]) | (whose[order][1:] != whose[order][:-1])]
-            kind = np.empty(len(order), np.int64)
-            kind[order] = np.cumsum(fresh) - 1
-            lead = order[fresh]
+            anchors = np.concatenate([_grams(_gathered(body, (begin + leads)[i : i + 50_000], np.full(len(begin[i : i + 50_000]), GRAM)))[::GRAM] for i in range(0, len(begin), 50_000)])
+            anchors &= ~_LOW  # made again: they would not compress
+            lead, kind = _kinds(body, begin, sizes, anchors)
+            order = np.argsort(anchors[lead], kind="stable")
+            lead, kind = lead[order], np.argsort(order)[kind]
             low = np.full(len(lead), LAST)
             np.minimum.at(low, kind, least)
             minima = _minima(anchors[lead], body, begin[lead], sizes[lead], low, sort_bytes)
             count = sizes - WINDOW + 1
             base = (np.cumsum(count[lead]) - count[lead])[kind]
-            owner = np.repeat(np.arange(len(sizes)), count)
-            offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            m = minima[base[owner] + offset]
-            hit = np.flatnonzero(m < most[owner])
-            if not len(hit):
+            runs = [_lost(minima, base[i : i + 20_000], count[i : i + 20_000], most[i : i + 20_000], i) for i in range(0, len(sizes), 20_000)]
+            o, f, v, length = (np.concatenate(x) for x in zip(*runs, strict=True))
+            if not len(o):
                 continue
-            o, f, v = owner[hit], offset[hit], m[hit]
-            first = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (f[1:] != f[:-1] + 1) | (v[1:] != v[:-1])])
-            length = np.diff(np.append(first, len(hit)))
-            o, f, v = o[first], f[first], v[first]
             order = np.argsort(grp[o], kind="stable")
             o, f, v, length = o[order], f[order], v[order], length[order]
             there, at = np.unique(grp[o], return_index=True)
@@ -377,30 +427,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     starts in a document with a smaller doc_id goes.
 
     A null text is empty. A null doc_id counts as greater than all others; rows that share a doc_id don't take bytes from
-    each other. kept_text leaves out the rest of characters that were cut in two. Only the two named columns are read.
+    each other, so repeated rows get equal results. An empty table gives no rows. Texts under 50 bytes lose nothing; a very
+    long text is scanned by the BLOCK, and is one row of one task. kept_text leaves out the rest of characters that were
+    cut in two. Only the two named columns are read, whatever the others are called. While this runs, the session's shuffle
+    files are deleted as each step ends, so don't run other queries of the same session beside it.
     """
     spark = docs.sparkSession
     mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = mine.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
     bits = max(0, int(total // (16 * BUCKET_ANCHORS)).bit_length())
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << bits)
+    width = 1 << bits
     anchor_path, context_path = scratch_path(spark, "repeats-anchors"), scratch_path(spark, "repeats-contexts")
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(clean, None)
     spark.conf.set(clean, "true")  # each step is written before the next, so its shuffle files can go
     try:
         anchors = mine.mapInArrow(_anchors(bits), "bucket int, hashes binary, docs binary")
-        anchors.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(groups), "grp int, hashes binary").write.parquet(anchor_path)
+        anchors.repartitionById(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(groups), "grp int, hashes binary").write.parquet(anchor_path)
         shared = spark.read.schema("grp int, hashes binary").parquet(anchor_path)
         by_group = mine.mapInArrow(_grouped(groups), "grp int, doc_id long, text string")
         none = F.lit(None)
         lines = shared.select("grp", none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "hashes").unionByName(by_group.withColumn("hashes", none.cast("binary")))
-        parts = min(groups, 4 * width)
-        lines.repartition(parts, "grp").sortWithinPartitions("grp", F.col("text").isNotNull(), "doc_id", "text").mapInArrow(_contexts(bits), CONTEXTS).write.partitionBy("kind").parquet(context_path)
+        lines.repartitionById(groups, "grp").sortWithinPartitions("grp", F.col("text").isNotNull(), "doc_id", "text").mapInArrow(_contexts(bits), CONTEXTS).write.partitionBy("kind").parquet(context_path)
         remove(spark, anchor_path)
         told = spark.read.schema(CONTEXTS).parquet(context_path).where("kind = 1").select("bucket", "grp", "leads", "bodies", "sizes", "least", "reach", "uids")
-        verdicts = written(told.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_verdicts(sort_bytes), "grp int, uids binary, starts binary, lengths binary, least binary"), "repeats-verdicts")
+        verdicts = written(told.repartitionById(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_verdicts(sort_bytes), "grp int, uids binary, starts binary, lengths binary, least binary"), "repeats-verdicts")
         remove(spark, f"{context_path}/kind=1")
         contexts = spark.read.schema(CONTEXTS).parquet(context_path)
     finally:
@@ -411,7 +463,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .unionByName(verdicts.select("grp", F.lit(2).alias("kind"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "uids", empty.alias("rows"), empty.alias("places"), "starts", "lengths", "least"))
         .unionByName(by_group.select("grp", F.lit(9).alias("kind"), "doc_id", "text", empty.alias("uids"), empty.alias("rows"), empty.alias("places"), empty.alias("starts"), empty.alias("lengths"), empty.alias("least")))
     )
-    done = rows.repartition(parts, "grp").sortWithinPartitions("grp", "kind", "doc_id", "text").mapInArrow(_removed(texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    done = rows.repartitionById(groups, "grp").sortWithinPartitions("grp", "kind", "doc_id", "text").mapInArrow(_removed(texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return done if texts else done.drop("kept_text")
 
 

@@ -5,6 +5,19 @@ from __future__ import annotations
 import numpy as np
 
 
+def _names(key: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """(names from 1 in the order of the keys, that order where it was made). Few possible keys are named by a table."""
+    if bound <= len(key) + 1_000_000:
+        there = np.zeros(bound, bool)
+        there[key] = True
+        return np.cumsum(there)[key], None
+    order = np.argsort(key)
+    sorted_key = key[order]
+    name = np.empty(len(key), np.int64)
+    name[order] = np.cumsum(np.r_[True, sorted_key[1:] != sorted_key[:-1]])
+    return name, order
+
+
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     """The starts of the suffixes of s (positive integers) in an order that is right for their first `depth` symbols.
 
@@ -18,25 +31,33 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     z = np.concatenate([s.astype(np.int64), np.zeros(4, np.int64)])
     k = int(z.max()) + 1
     if depth <= 3:
-        return np.argsort((z[:n] * k + z[1 : n + 1]) * k + z[2 : n + 2], kind="stable")
-    one = np.arange(1, n + (n % 3 == 1), 3)
-    two = np.arange(2, n, 3)
-    sample = np.concatenate([one, two])
-    distinct, name = np.unique((z[sample] * k + z[sample + 1]) * k + z[sample + 2], return_inverse=True)
-    if len(distinct) < len(sample):
-        order = suffix_order(name + 1, -(-depth // 3))
-        name = np.empty(len(sample), np.int64)
-        name[order] = np.arange(len(sample))
-    rank = np.zeros(n + 5, np.int64)
-    rank[sample] = name + 1
-    r = int(name.max()) + 2
-    sampled = sample[np.argsort(name, kind="stable")]
-    sampled = sampled[sampled < n]
-    rest = np.arange(0, n, 3)
-    rest = rest[np.argsort(z[rest] * r + rank[rest + 1], kind="stable")]
-    first, second = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
-    before = np.searchsorted(z[first] * r + rank[first + 1], z[rest] * r + rank[rest + 1], "left")
-    before += np.searchsorted((z[second] * k + z[second + 1]) * r + rank[second + 2], (z[rest] * k + z[rest + 1]) * r + rank[rest + 2], "left")
+        return np.argsort((z[:n] * k + z[1 : n + 1]) * k + z[2 : n + 2])
+    ones, twos = (n + 1) // 3 + (n % 3 == 1), n // 3
+    key = np.concatenate([(z[a : a + 3 * m : 3] * k + z[a + 1 : a + 1 + 3 * m : 3]) * k + z[a + 2 : a + 2 + 3 * m : 3] for a, m in ((1, ones), (2, twos))])
+    name, order = _names(key, k**3)
+    if int(name.max()) < len(key):
+        order = suffix_order(name, -(-depth // 3))
+        name = np.empty(len(key), np.int64)
+        name[order] = np.arange(1, len(key) + 1)
+    elif order is None:
+        order = np.argsort(name)
+    rank = np.zeros(3 * len(key) + 8, np.int64)
+    rank[1 : 1 + 3 * ones : 3], rank[2 : 2 + 3 * twos : 3] = name[:ones], name[ones:]
+    r = len(key) + 1
+    in_one = order < ones
+    sampled = np.where(in_one, 3 * order + 1, 3 * (order - ones) + 2)
+    rest = sampled[in_one] - 1  # by the next place's rank, then by the first symbol
+    if k <= 1 << 16:
+        rest = rest[np.argsort(z[rest].astype(np.uint16), kind="stable")]
+    else:
+        rest = rest[np.argsort(z[rest] * r + rank[rest + 1])]
+    if n % 3 == 1:  # the empty suffix at n
+        real = sampled < n
+        sampled, in_one = sampled[real], in_one[real]
+    first, second = sampled[in_one], sampled[~in_one]
+    z_rest, z_next = z[rest], z[rest + 1]
+    before = np.searchsorted(z[first] * r + rank[first + 1], z_rest * r + rank[rest + 1], "left")
+    before += np.searchsorted((z[second] * k + z[second + 1]) * r + rank[second + 2], (z_rest * k + z_next) * r + rank[rest + 2], "left")
     before = np.maximum.accumulate(before)  # among suffixes alike to depth, the two comparisons need not agree
     out = np.full(n, -1, np.int64)
     out[np.arange(len(rest)) + before] = rest
@@ -53,7 +74,9 @@ def window_minima(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, values
     place = np.cumsum(size + 1) - (size + 1)
     text = np.ones(int((size + 1).sum()), np.int64)
     spot = np.repeat(place - starts, size) + (source := np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum()))
-    text[spot] = body[source].astype(np.int64) + 2
+    there = np.zeros(256, bool)
+    there[body[source]] = True
+    text[spot] = (np.cumsum(there) + 1)[body[source]]
     count = size - window + 1
     opening = np.repeat(place - (np.cumsum(count) - count), count) + np.arange(count.sum())
     number = np.full(len(text), -1, np.int64)
