@@ -37,17 +37,21 @@ WITH d AS (
 b AS (
   SELECT doc_id, source, t, w, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
-         list_max(list_transform(w, lambda x: {'n': length(x), 'w': x})).w AS longest,
          list_transform(ls, lambda x: lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')))) AS lines
   FROM d),
 win AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM b WHERE len(w) >= 8),
 wn AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i+7], ' ')) AS n FROM win),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM wn, range(0, 8) AS r(k) WHERE n > 1 GROUP BY doc_id),
-occ AS (SELECT doc_id, source, t, longest, unnest(lines) AS line FROM b),
-lim AS (
-  SELECT source, line FROM occ GROUP BY source, line
-  HAVING count(DISTINCT longest) > 20 AND count(DISTINCT longest) >= 0.5 * count(DISTINCT t)),
-gone AS (SELECT doc_id, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n FROM occ JOIN lim USING (source, line) GROUP BY doc_id),
+occ AS (SELECT doc_id, source, unnest(lines) AS line FROM b),
+own AS (SELECT DISTINCT doc_id, source, line FROM occ),
+sh AS (
+  SELECT doc_id, line, md5(unnest(CASE WHEN len(f) > 0 THEN f ELSE [line] END)) AS s
+  FROM (SELECT doc_id, line, regexp_extract_all(line, '(?:^| )([bdhlpt][^ ]* [^ ]+ [^ ]+)', 1) AS f FROM own)),
+least_two AS (SELECT doc_id, line, s FROM (SELECT DISTINCT doc_id, line, s FROM sh) QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY s) <= 2),
+pool AS (SELECT doc_id, list({'s': s, 'line': line} ORDER BY s, line) AS p FROM least_two GROUP BY doc_id),
+other AS (SELECT source, line, list_transform(list_filter(p, lambda e: e.line <> own.line)[1:2], lambda e: e.s) AS rest FROM own JOIN pool USING (doc_id)),
+lim AS (SELECT source, line FROM other GROUP BY source, line HAVING count(DISTINCT rest) > 20),
+gone AS (SELECT doc_id, sum(len(regexp_extract_all(occ.line, '[^\x20\x09-\x0D]+'))) AS n FROM occ JOIN lim ON occ.line = lim.line AND occ.source IS NOT DISTINCT FROM lim.source GROUP BY doc_id),
 f AS (
   SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, n_words - coalesce(gone.n, 0) AS n_left_words
   FROM b LEFT JOIN rep ON rep.doc_id = b.doc_id LEFT JOIN gone ON gone.doc_id = b.doc_id)

@@ -5,9 +5,10 @@ steps, so a line that a third of all documents hold is never gathered. Lines abo
 removed, and documents that they make up almost wholly are rejected.
 
 Copies of one document are not evidence of boilerplate: for a line, documents count as distinct by a sketch of the rest of
-their text, the two least hashes of three-word shingles outside that line. Equal texts have one sketch, near copies mostly
-share it, and documents that have only boilerplate in common differ, however many there are. A line is over the limits when
-more than `max_docs` such documents of its host hold it.
+their text, the two least md5 hashes of three-word shingles outside that line. Equal texts have one sketch, near copies
+mostly share it, and documents that have only boilerplate in common differ, however many there are. A line is over the
+limits when more than `max_docs` such documents of its host hold it. To hash less, a line takes part by those of its
+shingles that begin with one of six letters and don't overlap; if it has none, as a whole.
 """
 
 from __future__ import annotations
@@ -19,17 +20,24 @@ from plotweave.llm.common import SPACE, WORD, let, words, written
 
 #: Words in a window whose repeats are counted.
 WINDOW = 8
-#: Words in a shingle of a line, and least hashes that make up a document's sketch.
-SHINGLE, LEAST = 3, 2
+#: The shingles of a normalised line that are hashed, and how many least hashes make up a document's sketch.
+SHINGLE, LEAST = "(?:^| )([bdhlpt][^ ]* [^ ]+ [^ ]+)", 2
+
+
+def _paired(hashes: Column, gap: int) -> Column:
+    """The hash of each element with the one gap places on."""
+    return let(hashes, lambda h: F.when(
+        F.size(h) > gap, F.zip_with(F.slice(h, 1, F.size(h) - gap), F.slice(h, gap + 1, F.size(h) - gap), lambda x, y: F.xxhash64(x, y))).otherwise(F.array().cast("array<bigint>")))
 
 
 def repeated_window_words(w: Column, window: int = WINDOW) -> Column:
-    """How many words lie in windows that occur twice or more in the list, first occurrences included.
+    """How many words lie in windows (a power of two of words) that occur twice or more in the list, first occurrences included.
 
-    Windows are told apart by 64-bit hashes, within one text only.
+    Windows are told apart by 64-bit hashes, made by doubling, within one text only.
     """
-    starts = F.when(F.size(w) >= window, F.sequence(F.lit(0), F.size(w) - window)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i + 1, window)))
+    hashes, gap = F.transform(w, lambda x: F.xxhash64(x)), 1
+    while gap < window:
+        hashes, gap = _paired(hashes, gap), 2 * gap
 
     def covered(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
@@ -48,10 +56,9 @@ def normal_line(line: Column) -> Column:
 
 
 def least_shingles(line: Column) -> Column:
-    """The least hashes of a normalised line's shingles, in order; a line of fewer words is one shingle."""
-    w = F.transform(F.split(line, " "), lambda x: F.xxhash64(x))
-    hashes = let(w, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)])))
-    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, LEAST)
+    """The least hashes of a normalised line's shingles, in order; without any, of the whole line."""
+    found = let(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(line)))
+    return F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda x: F.md5(x)))), 1, LEAST)
 
 
 def rest_sketch(pool: Column, h: Column) -> Column:
@@ -65,13 +72,12 @@ def profile(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataF
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     base = docs.select(
         F.col(id_col).alias("doc_id"), F.col(host_col).alias("_host"), F.xxhash64(text).alias("_text_hash"), words(F.col(text_col)).alias("_w"),
-        F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"), lines.alias("_lines"),
+        (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"), lines.alias("_lines"), F.transform(lines, normal_line).alias("_norm"),
     )
-    normal = F.transform("_lines", lambda x: let(normal_line(x), lambda y: F.struct(F.xxhash64(y).alias("h"), F.regexp_count(y, F.lit(WORD)).alias("n"))))
-    least = F.transform(F.array_distinct(F.transform("_lines", normal_line)), lambda y: let(F.xxhash64(y), lambda h: F.transform(least_shingles(y), lambda s: F.struct(s.alias("s"), h.alias("h")))))
+    normal = F.transform("_norm", lambda y: F.struct(F.xxhash64(y).alias("h"), F.regexp_count(y, F.lit(WORD)).alias("n")))
+    least = F.transform(F.array_distinct("_norm"), lambda y: let(F.xxhash64(y), lambda h: F.transform(least_shingles(y), lambda s: F.struct(s.alias("s"), h.alias("h")))))
     return base.select(
-        "doc_id", "_host", "_text_hash", F.size("_w").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        "doc_id", "_host", "_text_hash", F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), repeated_window_words(F.col("_w")).alias("n_repeat_words"),
         F.slice(F.array_sort(F.flatten(least)), 1, 2 * LEAST).alias("_pool"), normal.alias("_normal"),
     )

@@ -10,7 +10,7 @@ from plotweave.llm import chat, licences, mixing, quality, sharding
 from plotweave.llm.licence_texts import KNOWN
 from plotweave.llm.oracles import ORACLES
 from plotweave.llm.queries import QUERIES
-from tests.compare import from_duckdb, from_spark
+from tests.compare import from_duckdb, from_spark, rows_of
 from tests.llm.fixtures import documents, frame, odd_frame
 
 SF = "/root/testdata/sf0.001"
@@ -161,6 +161,35 @@ def test_boilerplate_of_many_documents_with_few_longest_words_goes(spark):
     assert all("subscribe" not in r["text"] for r in quality.clean_documents(frame(spark, rows)).collect())
 
 
+def boilerplate_rows():
+    """Footers with the longest word of their documents, with a near copy group beside them, and a null host."""
+    rng = random.Random(7)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    rows = []
+    for i in range(120):
+        footer = "Subscribe to our newsletter at the top today" if i % 2 else "More at https://host.example/a/very/long/address/of/the/page.html"
+        rows.append((i, f"{text(60)}\n{footer}\n{text(3)}", "en", "host" if i < 80 else None, 0))
+    copy = [text(30) for _ in range(4)]
+    rows += [(200 + i, "\n".join([*copy, f"edited {i}"]), "en", "host", 0) for i in range(70)]
+    rows += [(300 + i, "More at https://host.example/a/very/long/address/of/the/page.html\nfew words", "en", "host", 0) for i in range(3)]
+    return rows
+
+
+def test_boilerplate_equals_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    docs = frame(spark, boilerplate_rows())
+    con.register("documents", docs.toPandas())
+    got = con.execute(ORACLES["op5_line_frequency"])
+    verdicts = quality.line_frequency(docs)[0].drop("_host", "_text_hash")
+    assert from_spark(verdicts) == rows_of([d[0] for d in got.description], got.fetchall())
+    kept = {r["doc_id"]: r["text"] for r in quality.clean_documents(docs).collect()}
+    assert set(kept) == set(range(120)) | set(range(200, 270))
+    assert not any(x in t for i, t in kept.items() if i < 80 for x in ("newsletter", "https")) and all("edited" in kept[200 + i] for i in range(70))
+    assert sum("newsletter" in t or "https" in t for i, t in kept.items() if 80 <= i < 120) == 40  # 20 of each line on the null host
+
+
 def test_quality_of_odd_rows(spark):
     d = odd_frame(spark, documents())
     verdicts, _ = quality.line_frequency(d)
