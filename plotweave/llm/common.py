@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a new temporary one only where that is unset (tests)."""
+    """The shared folder in spark.checkpoint.dir; a new temporary one where that is unset and the master is local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="plotweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -45,6 +47,12 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def removed_after(df: DataFrame) -> None:
+    """Deletes the scratch table df, made by written(), once nothing reads it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, path)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, by binding it to a lambda's variable."""
     return F.transform(F.array(value), body)[0]

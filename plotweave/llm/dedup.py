@@ -16,11 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plotweave.llm import hyperminhash as hmh
 from plotweave.llm.common import written
-from plotweave.llm.components import components
+from plotweave.llm.components import components, least_of_key
 from plotweave.llm.wordhash import U, mix, text_shingles
 
 #: Members and bytes of sets that one side of a tile holds, about.
@@ -126,10 +127,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = buckets.join(hubs, F.col("key") == F.col("hkey")).where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
     clusters = written(components(stars), "dedup-clusters")
 
-    member = clusters.join(reps.select("rep", "n_shingles"), F.col("node") == F.col("rep"))
-    sizes = member.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("items"))
-    blocks = F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("items") * 8 / TILE_BYTES)).cast("int")
-    wanted = clusters.join(sizes.select("c", blocks.alias("blocks")), F.col("component") == F.col("c")).select("node", F.col("component").alias("cluster"), "blocks")
+    member = clusters.join(reps.select("rep", "n_shingles", F.lit(1).alias("rows")), F.col("node") == F.col("rep"))
+    member = least_of_key(member, "component", "node", "rows", "n_shingles")
+    blocks = F.greatest(F.ceil(F.col("rows_sum") / TILE_ROWS), F.ceil(F.col("n_shingles_sum") * 8 / TILE_BYTES)).cast("int")
+    wanted = member.select("node", F.col("component").alias("cluster"), blocks.alias("blocks"))
     texts = mine.join(wanted, F.col("doc_id") == F.col("node")).select(F.col("doc_id").alias("rep"), "cluster", "blocks", "text")
     sets = texts.mapInArrow(_sets(shingle_words), "rep long, cluster long, blocks int, shingles binary")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -145,7 +146,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each class, with the columns of docs; of rows that share a doc_id one stays. Rows with a null id stay."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept")).drop("_kept").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    """One document of each class, with the columns of docs, whatever they are called.
+
+    Of rows that share a doc_id one stays: that with the least text, null last, then the least row hash, so reruns agree;
+    give distinct texts distinct ids. Rows with a null id all stay; null and empty texts are in no class and stay. Very
+    long texts are compared whole. An empty table gives no rows.
+    """
+    kept = near_duplicates(docs, id_col, text_col, **options).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(row.alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    order = F.when(F.col("_n") > 1, F.struct(F.col("_text").isNull(), F.xxhash64("_text"), F.xxhash64(F.to_json("_row"))))
+    named = packed.where("_id is not null").join(kept, F.col("_id") == F.col("_kept")).select("_row", "_id", order.alias("_order"))
+    first = named.withColumn("_nth", F.row_number().over(W.partitionBy("_id").orderBy("_order"))).where("_nth = 1")
+    return first.select("_row").unionByName(packed.where("_id is null").select("_row")).select("_row.*")

@@ -49,7 +49,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, rep
 
 def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: str = "mix", payload: bool = False) -> DataFrame:
     """How many copies of each document the mix takes: one row per input row with doc_id, size, source_size, target,
-    copies and taken, or with payload=True all input columns followed by `_copies`.
+    copies and taken, or with payload=True `_row`, the input row as a struct, and `_copies`.
 
     A null text has size 0; a null source is a source of its own, ranked last; a null doc_id is shuffled like any other
     value. Rows alike in doc_id, text and source are interchangeable. Documents of size 0 finish with their
@@ -92,7 +92,7 @@ def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         taken = F.filter(mine, lambda x: x["f"].isNotNull() & (F.col("_size") > 0) & (x < limit))
     out = entries(base if payload else narrow).withColumn("_copies", F.size(taken))
     if payload:
-        return out.select("_row.*", "_copies")
+        return out.select("_row", "_copies")
     return out.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_copies").alias("copies"))
 
 
@@ -119,6 +119,9 @@ def _cut(queue: DataFrame, budget: float):
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as many times as it is taken, with the columns of docs."""
+    """The mix itself: each document as many times as it is taken, with the columns of docs, whatever they are called.
+
+    Copies of a row are equal rows. Empty and null texts weigh nothing and are not taken; an empty table gives no rows.
+    """
     counted = fair_mix(docs, payload=True, **options).where("_copies > 0")
-    return counted.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+    return counted.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plotweave.llm import dedup, hyperminhash, wordhash
 from plotweave.llm.components import components
@@ -105,3 +106,22 @@ def test_components_of_a_path(spark):
     for r in components(edges).collect():
         got[r["component"]].add(r["node"])
     assert got == {0: set(range(41)), 41: set(range(41, n + 1))}
+
+
+def test_a_hub_is_dealt_over_salts(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5050)] + [(i, 9999) for i in range(7000, 7400)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = {i: 0 for i in range(3000)} | {i: 5000 for i in range(5000, 5051)} | {i: 7000 for i in [*range(7000, 7400), 9999]}
+    assert got == want
+
+
+def test_kept_columns_of_any_name(spark):
+    d = frame(spark, documents()).withColumns({"_kept": F.lit(1), "_id": F.lit("x"), "_row": F.lit(2), "_n": F.lit(3), "_text": F.lit(4)})
+    kept = dedup.deduplicated(d, shingle_words=2)
+    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {c for _, c in brute(documents(), 2).values()}
+
+
+def test_of_rows_that_share_an_id_the_same_stays(spark):
+    rows = [(1, f"some text of its own with number {i}", "en", "s", i) for i in range(6)] + [(1, None, "en", "s", 9), (2, "", "en", "s", 0)]
+    seen = {tuple(sorted(map(tuple, dedup.deduplicated(frame(spark, r).repartition(k)).collect()))) for r, k in ((rows, 1), (rows[::-1], 3), (rows[3:] + rows[:3], 5))}
+    assert len(seen) == 1 and [r[0] for r in next(iter(seen))] == [1, 2] and next(iter(seen))[0][1]

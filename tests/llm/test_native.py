@@ -101,7 +101,7 @@ def test_targets_equal_repeated_dealing(spark):
 
 
 def test_mix_of_odd_rows(spark):
-    d = odd_frame(spark, documents())
+    d = odd_frame(spark, documents()).withColumns({"_copies": F.lit(7), "_row": F.lit(1), "_src": F.lit("s"), "_size": F.lit(0)})
     assert mixing.fair_mix(d).count() == d.count()
     mixed = mixing.mixed_rows(d)
     assert mixed.columns == d.columns and mixed.count() > 0
