@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir (a temporary folder only where that is unset)."""
+    """df as a Parquet table under spark.checkpoint.dir (a temporary folder where that is unset and the master is local)."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="plotweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/stages/{uuid.uuid4().hex}"
