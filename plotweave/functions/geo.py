@@ -161,4 +161,80 @@ def canopy_height(pct, lon, lat) -> Column:
     from plotweave.functions.numeric import hash01
 
     base = F.when(col(pct) >= 70, 18.0).when(col(pct) >= 50, 14.5).when(col(pct) >= 30, 11.0).when(col(pct) >= 18, 8.5).otherwise(6.5)
-    return clamp(half_up((base + (hash01(lon, lat, F.lit(3)) - 0.5) * 2.6) * 2) / 2, 5.0, 28.0)
+    return clamp(half_up((base + (hash01(lon, lat, F.lit(5)) - 0.5) * 2.6) * 2) / 2, 5.0, 28.0)
+
+
+def padded_extent(west, south, east, north, px_w, px_h) -> Column:
+    """struct<west, south, east, north>: a box widened about its middle to the proportions of an image."""
+    w, s, e, n = (col(c) for c in (west, south, east, north))
+    lon, lat, target = e - w, n - s, col(px_w) / col(px_h)
+    now = lon / lat
+    box = lambda a, b, c, d: F.struct(a.alias("west"), b.alias("south"), c.alias("east"), d.alias("north"))
+    tall, wide = lon / target / 2, lat * target / 2
+    mid_x, mid_y = (w + e) / 2, (s + n) / 2
+    odd = (col(px_w) > 0) & (col(px_h) > 0) & (lon > 0) & (lat > 0) & (F.abs(now - target) > F.abs(target) * 1e-9)
+    return F.when(odd & (now > target), box(w, mid_y - tall, e, mid_y + tall)).when(odd, box(mid_x - wide, s, mid_x + wide, n)).otherwise(box(w, s, e, n))
+
+
+def turned_bounds(west, south, east, north, degrees, margin: float = 3.0) -> Column:
+    """struct<west, south, east, north>: the north-up box around a box turned about its middle, with a margin in metres."""
+    w, s, e, n = (col(c) for c in (west, south, east, north))
+    lon0, lat0, t = (w + e) / 2, (s + n) / 2, F.radians(col(degrees))
+    m_lon, m_lat = LON_M * F.cos(F.radians(lat0)), F.lit(LAT_M)
+    half_w, half_l = (e - w) * m_lon / 2, (n - s) * m_lat / 2
+    c, d = F.abs(F.cos(t)), F.abs(F.sin(t))
+    he, hn = half_w * c + half_l * d + margin, half_w * d + half_l * c + margin
+    return F.struct((lon0 - he / m_lon).alias("west"), (lat0 - hn / m_lat).alias("south"), (lon0 + he / m_lon).alias("east"), (lat0 + hn / m_lat).alias("north"))
+
+
+def turned_grid(lon0, lat0, width_m, length_m, degrees, frame: Frame) -> Column:
+    """struct<w, h, fwd, inv>: the pixel grid of a turned box at the frame's pixel size, and the affine maps from its pixels to
+    the frame's and back, as six numbers (x = a u + b v + c, y = d u + e v + f), y up."""
+    metre = frame.width_m / frame.px_w
+    w, h = F.greatest(half_up(col(width_m) / metre), F.lit(2.0)), F.greatest(half_up(col(length_m) / metre), F.lit(2.0))
+    t = F.radians(col(degrees))
+    c, s = F.cos(t), F.sin(t)
+    sx = frame.px_w / (frame.east - frame.west) / (LON_M * F.cos(F.radians(col(lat0))))
+    sy = F.lit(frame.px_h / (frame.north - frame.south) / LAT_M)
+    ox = (col(lon0) - frame.west) / (frame.east - frame.west) * frame.px_w - (w * c + h * s) * metre / 2 * sx
+    oy = (col(lat0) - frame.south) / (frame.north - frame.south) * frame.px_h - (h * c - w * s) * metre / 2 * sy
+    a, b, d, e = c * metre * sx, s * metre * sx, -s * metre * sy, c * metre * sy
+    det = a * e - b * d
+    inv = (e / det, -b / det, -(e * ox - b * oy) / det, -d / det, a / det, -(a * oy - d * ox) / det)
+    return F.struct(w.cast("long").alias("w"), h.cast("long").alias("h"), F.array(a, b, ox, d, e, oy).alias("fwd"), F.array(*inv).alias("inv"))
+
+
+def pixel_window(box: Column, origin_x, origin_y, step_x, step_y, px_w: int, px_h: int) -> Column:
+    """struct<left, top, right, bottom> of the raster pixels under a lon/lat box in a Mercator raster; null if under 2 x 2."""
+    px = lambda x: (x - col(origin_x)) / col(step_x)
+    py = lambda y: (y - col(origin_y)) / col(step_y)
+    (xw, ys), (xe, yn) = mercator(box["west"], box["south"]), mercator(box["east"], box["north"])
+    left, right = F.floor(F.least(px(xw), px(xe))), F.ceil(F.greatest(px(xw), px(xe)))
+    top, bottom = F.floor(F.least(py(ys), py(yn))), F.ceil(F.greatest(py(ys), py(yn)))
+    met = (right > 0) & (bottom > 0) & (left < px_w) & (top < px_h)
+    left, top, right, bottom = F.greatest(left, F.lit(0)), F.greatest(top, F.lit(0)), F.least(right, F.lit(px_w)), F.least(bottom, F.lit(px_h))
+    return F.when(met & (right - left >= 2) & (bottom - top >= 2), F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom")))
+
+
+#: The southern border of Canada, west to east.
+CANADA_SOUTH = (
+    (-141, 60), (-130, 55), (-123.3, 49), (-95.15, 49), (-89.6, 48), (-84.8, 46.5), (-82.4, 45.3), (-82.5, 42.2), (-79, 43.3), (-76.5, 44),
+    (-74.7, 45), (-71.5, 45), (-70.7, 45.4), (-69.2, 47.4), (-67.8, 47.1), (-67.8, 45.7), (-67, 44.8), (-52, 44.8),
+)
+
+
+def in_canada(lon, lat) -> Column:
+    """North of the border's first stretch that spans the longitude, south of 84 degrees."""
+    border = F.when(F.lit(False), F.lit(0.0))
+    for (ax, ay), (bx, by) in zip(CANADA_SOUTH, CANADA_SOUTH[1:], strict=False):
+        if bx >= ax:
+            border = border.when(col(lon).between(ax, bx), ay + (by - ay) * ((col(lon) - ax) / (bx - ax) if bx > ax else F.lit(0.0)))
+    return F.coalesce((col(lon) > -141) & (col(lon) < -52) & (col(lat) < 84) & (col(lat) > border), F.lit(False))
+
+
+def restroom_label(lon, lat) -> Column:
+    """What a public toilet building is called at a place."""
+    x, y = col(lon), col(lat)
+    inside = lambda a, b, c, d: (x > a) & (x < b) & (y > c) & (y < d)
+    states = inside(-125, -66.5, 24.4, 49.4) | ((x < -129.9) & (y > 51) & (y < 72)) | inside(-161, -154, 18.5, 22.6) | inside(-67.5, -65, 17.8, 18.6)
+    return F.when(x.isNull() | y.isNull(), "Toilets").when(in_canada(x, y), "Washrooms").when(states, "Restrooms").otherwise("Toilets")

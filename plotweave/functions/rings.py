@@ -163,3 +163,103 @@ def drop_collinear(r, eps: float = 1e-9) -> Column:
 def ring_key(r, digits: int = 5) -> Column:
     """A text that rounded, equal rings share."""
     return F.array_join(F.transform(col(r), lambda p: F.format_string(f"%.{digits}f,%.{digits}f", p["x"], p["y"])), ";")
+
+
+def polygon_circle(x, y, diameter, unit_x: float, unit_y: float, sides: int = 8) -> Column:
+    """A closed polygon for a circle whose first side is upright on the right; units are metres a pixel on each axis."""
+    angle = lambda i: 2 * math.pi * i / sides - math.pi / sides
+    return F.transform(F.sequence(F.lit(0), F.lit(sides)), lambda i: point(col(x) + col(diameter) / 2 / unit_x * F.cos(angle(i % sides)), col(y) + col(diameter) / 2 / unit_y * F.sin(angle(i % sides))))
+
+
+def moment_ellipse(moments, sides: int = 16, scale: float = 1.0) -> Column:
+    """A closed ring on the ellipse with a ring's second_moments() and its area; the short moment is 0.04 of the long one at
+    least. Give the moments as a column, so that they are made once."""
+    m = col(moments)
+    mid, gap = (m["xx"] + m["yy"]) / 2, F.sqrt(F.greatest(F.pow((m["xx"] - m["yy"]) / 2, F.lit(2)) + m["xy"] * m["xy"], F.lit(0.0)))
+    a, b = 2 * F.sqrt(mid + gap), 2 * F.sqrt(F.greatest(mid - gap, (mid + gap) * 0.04))
+    k = F.sqrt(m["area"] / (math.pi * a * b)) * scale
+    turn = 0.5 * F.atan2(2 * m["xy"], m["xx"] - m["yy"])
+    s = F.struct(m["cx"].alias("x"), m["cy"].alias("y"), (a * k).alias("a"), (b * k).alias("b"), F.cos(turn).alias("c"), F.sin(turn).alias("s"))
+    t = lambda i: 2 * math.pi * (i % sides) / sides
+    at = lambda e, i: point(e["x"] + e["a"] * F.cos(t(i)) * e["c"] - e["b"] * F.sin(t(i)) * e["s"], e["y"] + e["a"] * F.cos(t(i)) * e["s"] + e["b"] * F.sin(t(i)) * e["c"])
+    return F.transform(F.array(s), lambda e: F.transform(F.sequence(F.lit(0), F.lit(sides)), lambda i: at(e, i)))[0]
+
+
+def cut_corners(r, most: float) -> Column:
+    """An open ring with each corner cut: both ends of every side move in by a quarter of it, `most` at the most."""
+
+    def ends(p, q):
+        n = F.sqrt(F.pow(q["x"] - p["x"], F.lit(2)) + F.pow(q["y"] - p["y"], F.lit(2)))
+        t = F.least(F.lit(0.25), most / n)
+        dx, dy = (q["x"] - p["x"]) * t, (q["y"] - p["y"]) * t
+        return F.when(n > 1e-9, F.array(point(p["x"] + dx, p["y"] + dy), point(q["x"] - dx, q["y"] - dy))).otherwise(F.array().cast(RING))
+
+    return F.flatten(_pairs(col(r), ends))
+
+
+def line_buffer(line, half: float) -> Column:
+    """A closed ring around an open line: left sides forwards, right sides backwards, along the neighbours' direction."""
+    n = F.size(col(line))
+
+    def side(p, i, k):
+        a, b = F.get(col(line), F.greatest(i - 1, F.lit(0))), F.get(col(line), F.least(i + 1, n - 1))
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        long = F.sqrt(dx * dx + dy * dy)
+        long = F.when(long > 0, long).otherwise(1.0)
+        return point(p["x"] - dy / long * half * k, p["y"] + dx / long * half * k)
+
+    left = F.transform(col(line), lambda p, i: side(p, i, 1))
+    right = F.transform(col(line), lambda p, i: side(p, i, -1))
+    return F.when(n >= 2, close_ring(F.concat(left, F.reverse(right))))
+
+
+def short_axis_stretched(r, width: float, height: float, span: float = 4.0, slack: float = 0.005) -> Column:
+    """A ring stretched to `span` on each axis that is shorter, inside 0..width and 0..height; empty where there is no room."""
+    b = bounds(r)
+
+    def reach(low, high, most):
+        mid = (low + high) / 2
+        a, z = mid - span / 2, mid + span / 2
+        a, z = F.when(a < 0, F.lit(0.0)).otherwise(a), F.when(a < 0, z - a).otherwise(z)
+        a, z = F.when(z > most, a - (z - most)).otherwise(a), F.least(z, F.lit(float(most)))
+        short = high - low < span
+        return F.when(short, F.greatest(a, F.lit(0.0))).otherwise(low), F.when(short, z).otherwise(high)
+
+    (x0, x1), (y0, y1) = reach(b["x0"], b["x1"], width), reach(b["y0"], b["y1"], height)
+    k = lambda low, high, a, z: F.when(high - low > 1e-9, (z - a) / (high - low)).otherwise(1.0)
+    fits = (x1 - x0 >= span - slack) & (y1 - y0 >= span - slack)
+    e = F.struct(b["x0"].alias("bx"), b["y0"].alias("by"), x0.alias("x0"), y0.alias("y0"), k(b["x0"], b["x1"], x0, x1).alias("kx"), k(b["y0"], b["y1"], y0, y1).alias("ky"))
+    moved = F.transform(F.array(e), lambda e: F.transform(col(r), lambda p: point(e["x0"] + (p["x"] - e["bx"]) * e["kx"], e["y0"] + (p["y"] - e["by"]) * e["ky"])))[0]
+    return F.when(fits, moved).otherwise(F.array().cast(RING))
+
+
+def exterior_rings(kind, polygons) -> Column:
+    """The outer rings (array of rings of [x, y]) of a Polygon's or MultiPolygon's parts; inner rings count where their first
+    vertex is outside the part's first ring. Rings of fewer than four points and other kinds of geometry give nothing."""
+    as_ring = lambda c: F.transform(c, lambda p: point(p[0], p[1]))
+
+    def of(part):
+        rings = F.transform(part, as_ring)
+        outer = F.get(rings, F.lit(0))
+        return F.filter(rings, lambda r, i: (F.size(r) >= 4) & ((i == 0) | ~contains(outer, F.get(r, F.lit(0))["x"], F.get(r, F.lit(0))["y"])))
+
+    found = F.flatten(F.transform(F.filter(col(polygons), lambda p: F.size(p) > 0), of))
+    return F.when(col(kind).isin("Polygon", "MultiPolygon"), F.coalesce(found, F.array().cast(f"array<{RING}>"))).otherwise(F.array().cast(f"array<{RING}>"))
+
+
+def needle_corners(r, degrees: float = 30.0) -> Column:
+    """How many corners of an open ring are sharper than that."""
+    n = F.size(col(r))
+
+    def sharp(p, i):
+        a, c = F.get(col(r), (i + n - 1) % n), F.get(col(r), (i + 1) % n)
+        ux, uy, vx, vy = a["x"] - p["x"], a["y"] - p["y"], c["x"] - p["x"], c["y"] - p["y"]
+        long = F.sqrt(ux * ux + uy * uy) * F.sqrt(vx * vx + vy * vy)
+        return (long > 0) & (F.degrees(F.acos(F.greatest(F.least((ux * vx + uy * vy) / long, F.lit(1.0)), F.lit(-1.0)))) < degrees)
+
+    return F.size(F.filter(F.transform(col(r), sharp), lambda x: x))
+
+
+def is_shadow_trace(r, least_area: float = 20_000.0) -> Column:
+    """A large ring with three needle corners or more follows a shadow, not a roof. Coordinates in metres."""
+    return (F.size(col(r)) >= 4) & (area(r) >= least_area) & (needle_corners(r) >= 3)

@@ -109,3 +109,102 @@ def box_id(west, south, east, north) -> Column:
 def truthy(v, default: bool) -> Column:
     """true, 1 and their strings are true, other values false, null the default."""
     return F.when(col(v).isNull(), default).otherwise(F.lower(col(v).cast("string")).isin("true", "1"))
+
+
+def tidy(s) -> Column:
+    """Single spaces, none before a comma and one after, no commas or spaces at the ends."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(col(s), F.lit("")), r"\s+", " "), r"\s+,", ",")
+    return F.regexp_replace(F.trim(F.regexp_replace(t, r",(\S)", ", $1")), r"^[,\s]+|[,\s]+$", "")
+
+
+STREET = r"(?i)^(.*?)\b((?:Chem\.|Chemin|Rue|Avenue|Boulevard|Bd|Boul\.)\s+)(.+)$"
+
+
+def bilingual_street(street) -> Column:
+    """struct<house, type, french, english> of `12 Chem. du Lac-Lakeshore`; null without a French name and an English word."""
+    s = F.coalesce(col(street), F.lit(""))
+    rest = F.trim(F.regexp_extract(s, STREET, 3))
+    english = F.element_at(F.split(rest, "-"), -1)
+    french = F.trim(F.substring(rest, F.lit(1), F.length(rest) - F.length(english) - 1))
+    fits = s.rlike(STREET) & rest.contains("-") & english.rlike("^[A-Za-z]{4,}$") & french.rlike(r"(?i)\b(du|de|des|la|le|les)\b")
+    return F.when(fits, F.struct(F.regexp_extract(s, STREET, 1).alias("house"), F.regexp_extract(s, STREET, 2).alias("type"), french.alias("french"), english.alias("english")))
+
+
+def place_queries(raw) -> Column:
+    """Up to four search strings: as typed, without a Canadian postcode, and with a bilingual street in English and in French."""
+    q = tidy(raw)
+    bare = tidy(F.regexp_replace(q, r"(?i)\b[ABCEGHJ-NPRSTVXY]\d[ABCEGHJ-NPRSTV-Z][ -]?\d[ABCEGHJ-NPRSTV-Z]\d\b", " "))
+    bits = F.split(bare, ",")
+    b = bilingual_street(F.get(bits, F.lit(0)))
+    rest = F.array_join(F.filter(F.transform(F.slice(bits, 2, 1000), lambda x: F.trim(x)), lambda x: x != ""), ", ")
+    tail = F.when(rest != "", F.concat(F.lit(", "), rest)).otherwise("")
+    english = tidy(F.concat(b["house"], b["english"], F.lit(" Road"), tail))
+    french = tidy(F.concat(b["house"], F.regexp_replace(b["type"], r"(?i)Chem\.", "Chemin "), b["french"], tail))
+    return F.slice(F.array_distinct(F.filter(F.array(q, bare, F.when(b.isNotNull(), english), F.when(b.isNotNull(), french)), lambda x: F.length(x) >= 3)), 1, 4)
+
+
+def folded(s) -> Column:
+    """Lower case without accents, other characters as single spaces."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(col(s), F.lit(""))), *ACCENTS), "[^a-z0-9]+", " "))
+
+
+def names_equal(a, b) -> Column:
+    return (folded(a) != "") & (folded(a) == folded(b))
+
+
+def display_name(name, name_en, title_, alternatives) -> Column:
+    """A wiki title that agrees with one of the names, else the English name, else the name."""
+    n, e, t = (F.trim(F.coalesce(col(c), F.lit(""))) for c in (name, name_en, title_))
+    alts = F.transform(F.split(F.coalesce(col(alternatives), F.lit("")), ";"), lambda x: F.trim(x))
+    agrees = (t == n) | (t == e) | F.exists(alts, lambda x: (x != "") & ((x == t) | x.startswith(F.concat(t, F.lit(" ")))))
+    return F.when((t != "") & agrees, t).when(e != "", e).otherwise(n)
+
+
+def fenced(s) -> Column:
+    """A fenced block that the text can't close early."""
+    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(col(s), F.lit("(`+)"), F.lit(1)), lambda x: F.length(x))), F.lit(0))
+    f = F.repeat(F.lit("`"), F.greatest(F.lit(3), longest + 1))
+    return F.concat(f, F.lit("text\n"), col(s), F.lit("\n"), f)
+
+
+def defused_references(s) -> Column:
+    """A zero-width space after @ before a name, and after # before a number that follows a repository or a space."""
+    t = F.regexp_replace(col(s), "@(?=[A-Za-z0-9_-])", "@​")
+    t = F.regexp_replace(t, r"([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)#(\d)", "$1#​$2")
+    return F.regexp_replace(t, r"(^|\s)#(\d)", "$1#​$2")
+
+
+def grouped(x) -> Column:
+    """A whole number with thousands separators."""
+    return F.format_number(F.floor(col(x) + 0.5), 0)
+
+
+def area_line(m2) -> Column:
+    """Square metres, square feet and acres of an area; null where it is not positive or rounds to nothing."""
+    a = col(m2)
+    acres = a / 4046.8564224
+    shown = F.when(acres < 9.95, F.format_string("%.1f", F.floor(acres * 10 + 0.5) / 10)).otherwise(grouped(acres))
+    return F.when(a >= 0.5, F.concat(grouped(a), F.lit(" m² · "), grouped(a * 3.280839895 * 3.280839895), F.lit(" ft² · "), shown, F.lit(" acres")))
+
+
+def height_range(heights) -> Column:
+    """`lo to hi m` of the rounded heights above 0, one number where they agree, nothing without any."""
+    hs = F.filter(F.transform(col(heights), lambda h: F.floor(F.coalesce(h, F.lit(0.0)) + 0.5)), lambda h: h > 0)
+    lo, hi = F.array_min(hs), F.array_max(hs)
+    return F.when(F.size(hs) == 0, "").when(lo == hi, F.concat(lo.cast("string"), F.lit(" m"))).otherwise(F.concat(lo.cast("string"), F.lit(" to "), hi.cast("string"), F.lit(" m")))
+
+
+def retry_after_ms(value, now) -> Column:
+    """Milliseconds to wait by a Retry-After header: seconds, or an HTTP date (GMT) after `now`; 0 without either."""
+    v = F.trim(F.coalesce(col(value), F.lit("")))
+    at = F.try_to_timestamp(F.regexp_extract(v, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+    wait = F.greatest(F.unix_millis(at) - F.unix_millis(col(now)), F.lit(0))
+    return F.when(v.rlike(r"^\d+(\.\d+)?$"), F.floor(v.try_cast("double") * 1000 + 0.5).cast("long")).otherwise(F.coalesce(wait, F.lit(0)))
+
+
+def project_year(name) -> Column:
+    """The latest year from 2000 to 2030 in a project's name, as four digits or as the first B or D with two; 0 without one."""
+    n = F.coalesce(col(name), F.lit(""))
+    years = F.transform(F.regexp_extract_all(n, F.lit(r"(\d{4})"), F.lit(1)), lambda y: y.cast("int"))
+    block = 2000 + F.nullif(F.regexp_extract(n, r"[BD](\d{2})(?:_|\b)", 1), F.lit("")).cast("int")
+    return F.coalesce(F.array_max(F.filter(F.concat(years, F.array(block)), lambda y: y.between(2000, 2030))), F.lit(0))

@@ -131,3 +131,54 @@ def levels(values: DataFrame, value: str, k: int, step: float = 0.5, rounds: int
             return new
         centres = new
     return centres
+
+
+def cell_heights(cloud: DataFrame, side: float) -> DataFrame:
+    """(cx, cy, h, kind) of the cells of a point cloud that hold a roof: 0.9 rank of building returns 2 m over the ground, else
+    of three flat single returns (within 6 m, no vegetation) 3 m over it. Ground is the lowest ground return; none, no row.
+
+    Ranks are by sorted values of a cell, which a laser's density bounds.
+    """
+    c = cloud.select(F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"), "z", "cls", "nret")
+    flat = F.when((F.col("cls") == 1) & (F.col("nret") == 1), F.col("z"))
+    g = c.groupBy("cx", "cy").agg(
+        F.min(F.when(F.col("cls") == 2, F.col("z"))).alias("ground"), F.collect_list(F.when(F.col("cls") == 6, F.col("z"))).alias("b"), F.collect_list(flat).alias("u"), F.count_if(F.col("cls").isin(3, 4, 5)).alias("vc"),
+    )
+    high, low = nearest_rank(F.col("b"), 0.9) - F.col("ground"), nearest_rank(F.col("u"), 0.9) - F.col("ground")
+    by_class = F.coalesce(high >= 2, F.lit(False))
+    by_shape = (F.size("u") >= 3) & (F.col("vc") == 0) & (F.array_max("u") - F.array_min("u") <= 6) & (low > 3)
+    return g.where(F.col("ground").isNotNull() & (by_class | by_shape)).select("cx", "cy", F.when(by_class, high).otherwise(low).alias("h"), F.when(by_class, "class6").otherwise("ndsm").alias("kind"))
+
+
+def finishes_by_creation(events: DataFrame, key: str, kinds: dict[str, str]) -> DataFrame:
+    """(day, a column per kind): a finish belongs to the key's last start before it; a job's first finish counts, on the day
+    of its start. One window a key."""
+    w = W.partitionBy(key).orderBy("ts", "id").rowsBetween(W.unboundedPreceding, -1)
+    started = F.last(F.when(F.col("kind") == "st", F.struct("ts", "id")), ignorenulls=True).over(w)
+    ends = events.withColumn("job", started).where(F.col("kind").isin(*kinds) & F.col("job").isNotNull())
+    first = ends.groupBy(key, "job").agg(F.min_by("kind", F.struct("ts", "id")).alias("kind"))
+    return first.groupBy(F.date_format("job.ts", "yyyy-MM-dd").alias("day")).agg(*[F.count_if(F.col("kind") == k).alias(name) for k, name in kinds.items()])
+
+
+def floored_sums(events: DataFrame, keys: list[str], delta: str, order: list[str], name: str) -> DataFrame:
+    """Per key what is left of adding the deltas in order, held at 0 from below: the sum less the least running sum under 0."""
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = events.withColumn("_run", F.sum(delta).over(w))
+    return run.groupBy(*keys).agg((F.sum(delta) - F.least(F.min("_run"), F.lit(0))).alias(name))
+
+
+def reserved_slots(calls: DataFrame, keys: list[str], at: str, order: list[str], gap: int) -> DataFrame:
+    """calls with `slot`: not before the call, and gap after the key's last slot: a running maximum of the calls less their turns."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    turn = calls.withColumn("_turn", (F.row_number().over(w) - 1) * gap)
+    return turn.withColumn("slot", F.max(F.col(at) - F.col("_turn")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("_turn")).drop("_turn")
+
+
+def month_sweep(events: DataFrame, today: str) -> DataFrame:
+    """(month, due, users, views, raw_left): totals of each month; months three days past their end keep no raw rows."""
+    from plotweave.functions.dates import month_due, month_key
+
+    m = events.withColumn("month", month_key("ts"))
+    g = m.groupBy("month").agg(F.countDistinct("visitor").alias("users"), F.count_if(F.col("kind") == "pv").alias("views"), F.count("*").alias("n"))
+    g = g.withColumn("due", month_due("month", F.to_date(F.lit(today))))
+    return g.select("month", "due", "users", "views", F.when(F.col("due"), 0).otherwise(F.col("n")).alias("raw_left"))

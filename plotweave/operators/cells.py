@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plotweave.functions.numeric import upper_median
+
 FOUR = ((1, 0), (-1, 0), (0, 1), (0, -1))
 EIGHT = tuple((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)
 
@@ -30,11 +32,16 @@ def local_maxima(cells: DataFrame, least_neighbours: int = 2) -> DataFrame:
     return cells.join(neighbour_stats(cells), ["gid", "ix", "iy"]).where((F.col("v") >= F.col("top")) & (F.col("n") >= least_neighbours)).select("gid", "ix", "iy", "v")
 
 
+def neighbour_medians(cells: DataFrame, offsets=EIGHT) -> DataFrame:
+    """(gid, ix, iy, n, middle): the upper median over the neighbours of every place that has any, at most eight values each."""
+    g = shifted(cells, offsets).groupBy("gid", "ix", "iy").agg(F.collect_list("nv").alias("_vs"))
+    return g.select("gid", "ix", "iy", F.size("_vs").alias("n"), upper_median(F.col("_vs")).alias("middle"))
+
+
 def despeckled(cells: DataFrame, fill_at: int = 6) -> DataFrame:
-    """Cells without a neighbour go; places with fill_at neighbours or more are filled with their mean. All read the old values."""
-    stats = neighbour_stats(cells)
-    m = cells.join(stats, ["gid", "ix", "iy"], "full")
-    keep = F.when(F.col("v").isNotNull() & (F.coalesce("n", F.lit(0)) > 0), F.col("v")).when(F.col("v").isNull() & (F.col("n") >= fill_at), F.col("mean"))
+    """Cells without a neighbour go; places with fill_at neighbours or more take their upper median. All read the old values."""
+    m = cells.join(neighbour_medians(cells), ["gid", "ix", "iy"], "full")
+    keep = F.when(F.col("v").isNotNull() & (F.coalesce("n", F.lit(0)) > 0), F.col("v")).when(F.col("v").isNull() & (F.col("n") >= fill_at), F.col("middle"))
     return m.withColumn("v", keep).where("v is not null").select("gid", "ix", "iy", "v")
 
 
@@ -50,9 +57,62 @@ def eroded(cells: DataFrame, offsets=EIGHT) -> DataFrame:
     return cells.join(full, ["gid", "ix", "iy"], "left_semi")
 
 
-def closed(cells: DataFrame) -> DataFrame:
-    """A dilation, then an erosion; old cells always stay."""
-    return cells.unionByName(eroded(dilated(cells)).join(cells.select("gid", "ix", "iy"), ["gid", "ix", "iy"], "left_anti"))
+def closed(cells: DataFrame, support: int = 4) -> DataFrame:
+    """A dilation, then an erosion; old cells always stay. A place so closed takes the upper median of the cells beside it,
+    and only where there are `support` of them."""
+    gaps = eroded(dilated(cells)).select("gid", "ix", "iy").join(cells.select("gid", "ix", "iy"), ["gid", "ix", "iy"], "left_anti")
+    filled = gaps.join(neighbour_medians(cells).where(F.col("n") >= support), ["gid", "ix", "iy"])
+    return cells.unionByName(filled.select("gid", "ix", "iy", F.col("middle").alias("v")))
+
+
+#: The places a pixel's local deviation looks at.
+SEVEN = ((0, 0), (3, 0), (-3, 0), (0, 3), (0, -3), (3, 3), (-3, 2))
+
+
+def local_deviation(cells: DataFrame, offsets=SEVEN) -> DataFrame:
+    """cells with `sd`, the population deviation over those of the offsets that are in the grid."""
+    back = [(-i, -j) for i, j in offsets]
+    g = shifted(cells, back).groupBy("gid", "ix", "iy").agg(F.avg("nv").alias("_m"), F.avg(F.col("nv") * F.col("nv")).alias("_q"))
+    return cells.join(g, ["gid", "ix", "iy"]).select("gid", "ix", "iy", "v", F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), F.lit(0.0))).alias("sd"))
+
+
+def gaps_filled(cells: DataFrame, passes: int = 2) -> DataFrame:
+    """A dense grid whose unknown values (v null) take the nearest known one along the row or the column, west, east, north and
+    south in turn at each distance. In row order and in place, as later fills read earlier ones; one grouped-map call a grid."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = pdf["ix"].min(), pdf["iy"].min()
+        z = np.full((pdf["iy"].max() - y0 + 1, pdf["ix"].max() - x0 + 1), np.nan)
+        z[pdf["iy"] - y0, pdf["ix"] - x0] = pdf["v"]
+        rows, cols = z.shape
+        for _ in range(passes):
+            for r, c in np.argwhere(np.isnan(z)).tolist():
+                best = []
+                for k, line in enumerate((z[r, :c][::-1], z[r, c + 1 :], z[:r, c][::-1], z[r + 1 :, c])):
+                    known = np.flatnonzero(~np.isnan(line))
+                    if len(known):
+                        best.append((known[0], k, line[known[0]]))
+                if best:
+                    z[r, c] = min(best)[2]
+        return pd.DataFrame({"gid": pdf["gid"], "ix": pdf["ix"], "iy": pdf["iy"], "v": z[pdf["iy"] - y0, pdf["ix"] - x0]})
+
+    return cells.groupBy("gid").applyInPandas(run, "gid long, ix long, iy long, v double")
+
+
+def bilinear_at(points: DataFrame, grid: DataFrame, width: int, height: int) -> DataFrame:
+    """points (id, px, py) with z, bilinear between the four cells around (px, py); unknown cells count 0, points off the grid are 0.
+
+    One equi-join on the cell: each point asks for its four corners and their weights.
+    """
+    inside = (F.col("px") >= 0) & (F.col("py") >= 0) & (F.col("px") <= width - 1) & (F.col("py") <= height - 1)
+    x0, y0 = F.floor("px"), F.floor("py")
+    tx, ty = F.col("px") - x0, F.col("py") - y0
+    x1, y1 = F.least(x0 + 1, F.lit(width - 1)), F.least(y0 + 1, F.lit(height - 1))
+    corner = lambda x, y, w: F.struct(x.cast("long").alias("ix"), y.cast("long").alias("iy"), w.alias("w"))
+    corners = F.array(corner(x0, y0, (1 - tx) * (1 - ty)), corner(x1, y0, tx * (1 - ty)), corner(x0, y1, (1 - tx) * ty), corner(x1, y1, tx * ty))
+    asked = points.where(inside).select("gid", "id", F.explode(corners).alias("c")).select("gid", "id", "c.*")
+    z = asked.join(grid.select("gid", "ix", "iy", "v"), ["gid", "ix", "iy"]).groupBy("gid", "id").agg(F.sum(F.col("w") * F.col("v")).alias("z"))
+    return points.join(z, ["gid", "id"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
 
 
 def grown(cells: DataFrame, allowed: DataFrame, passes: int = 4, touch: int = 2) -> DataFrame:
@@ -231,11 +291,38 @@ def enclosed_places(cells: DataFrame) -> DataFrame:
     return cells.groupBy("gid").applyInPandas(run, "gid long, ix long, iy long")
 
 
-def interpolated(samples: DataFrame, targets: DataFrame, side: float, reach: int = 1) -> DataFrame:
-    """Inverse-square-distance means at targets (tid, x, y) of samples (x, y, z) in the cells around; exact hits win.
+def interpolated(samples: DataFrame, targets: DataFrame, sample_rows: int = 20_000, target_rows: int = 5_000) -> DataFrame:
+    """Inverse-square-distance means at targets (tid, x, y) over all samples (x, y, z); a sample on the target decides.
 
-    Samples beyond the reach weigh little and are left out, so the join stays an equi-join on cells.
+    Samples of one place are summed first. Targets and samples are dealt into blocks of about the given rows; each pair of
+    blocks gives its targets' partial sums in numpy, which are then added up, so no task holds more than two blocks.
+    Several samples on a target give their mean. Without samples z is null.
     """
+    places = samples.groupBy("x", "y").agg(F.sum("z").alias("z"), F.count("*").cast("double").alias("n"))
+    n_samples, n_targets = places.count(), targets.count()
+    s_blocks, t_blocks = -(-max(1, n_samples) // sample_rows), -(-max(1, n_targets) // target_rows)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = targets.select("tid", "x", "y", F.pmod(F.xxhash64("tid"), F.lit(t_blocks)).cast("int").alias("tb"), every(s_blocks).alias("sb"))
+    b = places.select("x", "y", "z", "n", F.pmod(F.xxhash64("x", "y"), F.lit(s_blocks)).cast("int").alias("sb"), every(t_blocks).alias("tb"))
+
+    def run(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((len(t), 4))
+        sx, sy, sz, sn = (s[c].to_numpy() for c in ("x", "y", "z", "n"))
+        at = t[["x", "y"]].to_numpy()
+        for i in range(0, len(t), 200):
+            d2 = (at[i : i + 200, :1] - sx) ** 2 + (at[i : i + 200, 1:] - sy) ** 2
+            hit = d2 < 1e-18
+            w = np.where(hit, 0.0, 1 / np.where(hit, 1.0, d2))
+            out[i : i + 200] = np.stack([w @ sz, w @ sn, hit @ sz, hit @ sn], axis=1)
+        return pd.DataFrame({"tid": t["tid"], "zw": out[:, 0], "w": out[:, 1], "zh": out[:, 2], "h": out[:, 3]})
+
+    parts = a.groupBy("tb", "sb").cogroup(b.groupBy("tb", "sb")).applyInPandas(run, "tid long, zw double, w double, zh double, h double")
+    sums = parts.groupBy("tid").agg(*[F.sum(c).alias(c) for c in ("zw", "w", "zh", "h")])
+    return sums.select("tid", F.when(F.col("h") > 0, F.col("zh") / F.col("h")).when(F.col("w") > 0, F.col("zw") / F.col("w")).alias("z"))
+
+
+def interpolated_near(samples: DataFrame, targets: DataFrame, side: float, reach: int = 1) -> DataFrame:
+    """An approximation of interpolated() by the samples in the cells around: targets without one drop out."""
     ring = F.expr(f"flatten(transform(sequence(-{reach}, {reach}), i -> transform(sequence(-{reach}, {reach}), j -> struct(i, j))))")
     t = targets.withColumn("_o", F.explode(ring)).withColumns({"_cx": F.floor(F.col("x") / side) + F.col("_o.i"), "_cy": F.floor(F.col("y") / side) + F.col("_o.j")}).drop("_o")
     s = samples.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "z").withColumns({"_cx": F.floor(F.col("_x") / side), "_cy": F.floor(F.col("_y") / side)})
@@ -257,7 +344,14 @@ def rectangles(cells: DataFrame) -> DataFrame:
 
 
 def prefix_sums(cells: DataFrame) -> DataFrame:
-    """Summed-area values s of a dense grid: rows first, then columns."""
+    """Summed-area values s of a grid at its cells: rows first, then columns. Absent cells count 0; for this the grid is made dense."""
+    span = cells.groupBy("gid").agg(F.min("ix").alias("a"), F.max("ix").alias("b"), F.min("iy").alias("c"), F.max("iy").alias("d"))
+    dense = span.select("gid", "c", "d", F.explode(F.sequence("a", "b")).alias("ix")).select("gid", "ix", F.explode(F.sequence("c", "d")).alias("iy"))
+    full = dense.join(cells.select("gid", "ix", "iy", "v"), ["gid", "ix", "iy"], "left").select("gid", "ix", "iy", F.coalesce("v", F.lit(0.0)).alias("v"))
+    return _dense_prefix_sums(full).join(cells.select("gid", "ix", "iy"), ["gid", "ix", "iy"], "left_semi")
+
+
+def _dense_prefix_sums(cells: DataFrame) -> DataFrame:
     a = cells.withColumn("_r", F.sum("v").over(W.partitionBy("gid", "iy").orderBy("ix").rowsBetween(W.unboundedPreceding, W.currentRow)))
     return a.withColumn("s", F.sum("_r").over(W.partitionBy("gid", "ix").orderBy("iy").rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_r")
 

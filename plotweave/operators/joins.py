@@ -38,15 +38,17 @@ def smallest_holder(points: DataFrame, boxes: DataFrame, side: float, point_id:
 
 
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, within: float, last_on_tie: bool = False) -> DataFrame:
-    """left with the nearest row of right closer than `within` (ids and d2 added); rows without one drop out.
+    """left with the nearest row of right closer than `within` (ids and d2 added); rows without one drop out. With
+    last_on_tie, the last of equally near rows counts, and one at just `within` does too.
 
     Cells are `within` wide, so a match lies in the 3 x 3 cells around. Columns x and y on both sides.
     """
     around = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct((F.floor(F.col("x") / within) + i).alias("cx"), (F.floor(F.col("y") / within) + j).alias("cy"))))))
+    reach = F.col("d2") <= within * within if last_on_tie else F.col("d2") < within * within
     a = left.withColumn("_c", around).withColumns({"_cx": F.col("_c.cx"), "_cy": F.col("_c.cy")}).drop("_c")
     b = right.select(F.col("x").alias("_x"), F.col("y").alias("_y"), *[c for c in right.columns if c not in ("x", "y")]).withColumns({"_cx": F.floor(F.col("_x") / within), "_cy": F.floor(F.col("_y") / within)})
     d2 = F.pow(F.col("x") - F.col("_x"), F.lit(2)) + F.pow(F.col("y") - F.col("_y"), F.lit(2))
-    pairs = a.join(b, ["_cx", "_cy"]).withColumn("d2", d2).where(F.col("d2") < within * within)
+    pairs = a.join(b, ["_cx", "_cy"]).withColumn("d2", d2).where(reach)
     tie = F.col(right_id).desc() if last_on_tie else F.col(right_id).asc()
     return pairs.withColumn("_n", F.row_number().over(W.partitionBy(left_id).orderBy("d2", tie))).where("_n = 1").drop("_n", "_cx", "_cy", "_x", "_y")
 
@@ -102,6 +104,50 @@ def segment_distance(px, py, ax, ay, bx, by) -> Column:
     return F.sqrt(F.pow(px - (ax + t * dx), F.lit(2)) + F.pow(py - (ay + t * dy), F.lit(2)))
 
 
+def widening(left: DataFrame, key: str, found_within, side: float, grow: float = 4.0, rounds: int = 16) -> DataFrame:
+    """found_within(rows, side) gives key and results for those of the rows that find something within `side`; the rest
+    try again with a wider one, until none is left or `rounds` have passed. Rounds are written to the shared folder."""
+    from plotweave.operators.stages import stored
+
+    todo, done = left, None
+    for _ in range(rounds):
+        got = stored(found_within(todo, side))
+        done = got if done is None else done.unionByName(got)
+        todo = stored(todo.join(got.select(key), key, "left_anti"))
+        if todo.isEmpty():
+            break
+        side *= grow
+    return done
+
+
+def nearest_segments(points: DataFrame, segments: DataFrame, side: float) -> DataFrame:
+    """(id, d): the distance of each point (id, x, y) to the nearest of all segments (ax, ay, bx, by), however far it is.
+
+    Segments are dealt to the cells within reach of their boxes; points that find none try again with wider cells.
+    """
+
+    def within(todo: DataFrame, s: float) -> DataFrame:
+        low, high = (lambda c: F.least(f"a{c}", f"b{c}") - s), (lambda c: F.greatest(f"a{c}", f"b{c}") + s)
+        dealt = on_cells(segments.select("ax", "ay", "bx", "by"), low("x"), low("y"), high("x"), high("y"), 4 * s)
+        near = todo.withColumns({"_cx": F.floor(F.col("x") / (4 * s)), "_cy": F.floor(F.col("y") / (4 * s))}).join(dealt, ["_cx", "_cy"])
+        return near.withColumn("d", segment_distance("x", "y", "ax", "ay", "bx", "by")).where(F.col("d") <= s).groupBy("id").agg(F.min("d").alias("d"))
+
+    return widening(points.select("id", "x", "y"), "id", within, side)
+
+
+def replaces_outline(owner_verts, owner_area, verts, area, owner_inside, candidate_inside, owner_height=None, height=None, triangle_share=0.0) -> Column:
+    """Whether a candidate outline replaces its owner's, from vertex counts, areas, whether each centroid lies in the other
+    ring, the heights, and the candidate's greatest triangle as a share of its area."""
+    va, aa, vb, ab = (col(c) for c in (owner_verts, owner_area, verts, area))
+    r = ab / aa
+    concentric = col(owner_inside) & (vb + 1 >= va) & (r >= 1.35)
+    traced = col(candidate_inside) & (vb >= 80) & (col(triangle_share) < 0.9) & (r > 8) & (r <= 16) & (ab < 150_000)
+    oh, ch = F.coalesce(col(owner_height), F.lit(0.0)), F.coalesce(col(height), F.lit(0.0))
+    tower = (oh >= 30) & (oh > ch + 12)
+    fits = ((vb >= va + 2) & r.between(0.65, 1.5)) | (concentric & ((r <= 2.4) | ((r <= 8) & (ab < 150_000) & col(candidate_inside)) | (traced & ~tower)))
+    return F.coalesce((aa > 1) & (ab > 1) & (va >= 3) & (vb >= 3) & fits, F.lit(False))
+
+
 def should_replace(owner_verts, owner_area, verts, area) -> Column:
     """A candidate outline replaces its owner's if it has two vertices more at a like area."""
     r = col(area) / col(owner_area)

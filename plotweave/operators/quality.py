@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plotweave.functions.numeric import col
-from plotweave.operators.joins import nearest
+from plotweave.operators.joins import nearest, on_cells, points_in_boxes, widening
 
 
 def f1(recall, precision) -> Column:
@@ -67,17 +70,47 @@ def height_errors(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.max(F.abs(e)).alias("worst"))
 
 
-def lattice_score(points: DataFrame, within: float) -> DataFrame:
-    """How regular points are spaced: 1 minus the variation of nearest-neighbour distances, 0 at least. Columns id, x, y."""
-    other = points.select(F.col("id").alias("other"), "x", "y")
-    d = _neighbour_distance(points.select("id", "x", "y"), other, within)
-    return d.agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd")).withColumn("score", F.greatest(1 - F.col("sd") / F.col("mean"), F.lit(0.0)))
-
-
-def _neighbour_distance(a: DataFrame, b: DataFrame, within: float) -> DataFrame:
-    from plotweave.operators.joins import on_cells
-
-    near = on_cells(a, F.col("x") - within, F.col("y") - within, F.col("x") + within, F.col("y") + within, within)
-    there = b.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "other").withColumns({"_cx": F.floor(F.col("_x") / within), "_cy": F.floor(F.col("_y") / within)})
-    d2 = F.pow(F.col("x") - F.col("_x"), F.lit(2)) + F.pow(F.col("y") - F.col("_y"), F.lit(2))
-    return near.join(there, ["_cx", "_cy"]).where((F.col("id") != F.col("other")) & (d2 <= within * within)).groupBy("id").agg(F.sqrt(F.min(d2)).alias("d"))
+def lattice_score(points: DataFrame, side: float, least_rows: int = 16, least_pairs: int = 12) -> DataFrame:
+    """How much points (id, x, y) look planted: one row n, cv, axis_share, median_nn, score, reject.
+
+    Each point's nearest other more than 1 away, however far; of equally near ones the first id. cv is the variation of
+    these distances (steps at 0.22 and 0.32), axis_share the share of directions within 12 degrees of an axis (above 0.6
+    it counts 0.45). Too few points score 0 and have null figures. The median is by ranks over the distances.
+    """
+    there = points.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("id").alias("_id"))
+
+    def within(todo: DataFrame, s: float) -> DataFrame:
+        near = on_cells(todo, F.col("x") - s, F.col("y") - s, F.col("x") + s, F.col("y") + s, s)
+        cells = there.withColumns({"_cx": F.floor(F.col("_x") / s), "_cy": F.floor(F.col("_y") / s)})
+        dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
+        d2 = dx * dx + dy * dy
+        met = near.join(cells, ["_cx", "_cy"]).where((F.col("id") != F.col("_id")) & (d2 > 1) & (d2 <= s * s))
+        best = met.groupBy("id").agg(F.min(F.struct(d2.alias("d2"), F.col("_id").alias("o"), dx.alias("dx"), dy.alias("dy"))).alias("b"))
+        return best.select("id", F.sqrt("b.d2").alias("d"), F.atan2("b.dy", "b.dx").alias("angle"))
+
+    n = points.count()
+    near = widening(points.select("id", "x", "y"), "id", within, side)
+    quarter = F.abs("angle") % (math.pi / 2)
+    axis = F.least(quarter, math.pi / 2 - quarter) < 12 * math.pi / 180
+    g = near.agg(F.count("*").alias("pairs"), F.avg("d").alias("_mean"), F.stddev_pop("d").alias("_sd"), F.avg(axis.cast("int")).alias("axis_share"))
+    ranked = near.groupBy("d").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(W.orderBy("d").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    middle = ranked.where(F.col("upto") > F.floor(F.lit(near.count()) / 2)).agg(F.min("d").alias("median_nn")).first()[0]
+    enough = (F.lit(n) >= least_rows) & (F.col("pairs") >= least_pairs)
+    cv = F.when(F.col("_mean") > 0, F.col("_sd") / F.col("_mean")).otherwise(1.0)
+    score = F.when(cv < 0.22, 0.55).when(cv < 0.32, 0.25).otherwise(0.0) + F.when(F.col("axis_share") > 0.6, 0.45).otherwise(F.col("axis_share") * 0.35)
+    known = lambda c: F.when(enough, c)
+    return g.select(
+        F.lit(n).cast("long").alias("n"), known(cv).alias("cv"), known(F.col("axis_share")).alias("axis_share"), known(F.lit(middle)).alias("median_nn"),
+        F.when(enough, score).otherwise(0.0).alias("score"), (enough & (score >= 0.75) & (F.lit(n) >= 24)).alias("reject"),
+    )
+
+
+def measured_heights(features: DataFrame, drawn: DataFrame, within: float, side: float) -> DataFrame:
+    """One row eligible, matched, heights, share: features (fid, x, y, height) against the drawn box (oid, x0..y1, h) that holds
+    them and whose middle is nearest, at most `within` away; a height within 0.15 of the rounded one matches."""
+    m = points_in_boxes(features, drawn, side)
+    dx, dy = F.col("x") - (F.col("x0") + F.col("x1")) / 2, F.col("y") - (F.col("y0") + F.col("y1")) / 2
+    best = m.groupBy("fid").agg(F.min_by(F.struct("height", "h", (dx * dx + dy * dy).alias("d2")), F.struct((dx * dx + dy * dy).alias("d2"), F.col("oid").alias("oid"))).alias("b")).select("b.*").where(F.col("d2") <= within * within)
+    close = F.abs(F.col("h") - F.floor(F.col("height") * 10 + 0.5) / 10) <= 0.15
+    g = best.agg(F.count("*").alias("eligible"), F.count_if(close).alias("matched"), F.countDistinct(F.round("h", 1)).alias("heights"))
+    return g.withColumn("share", F.when(F.col("eligible") > 0, F.col("matched") / F.col("eligible")).otherwise(1.0))

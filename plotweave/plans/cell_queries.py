@@ -10,24 +10,26 @@ from plotweave.plans.shapes import CLOUD, DENSE, GRID, cloud, dense_grid, grid
 
 _NEIGH = "nb AS (SELECT a.gid, a.ix + i AS ix, a.iy + j AS iy, a.v FROM grid a, range(-1, 2) AS p(i), range(-1, 2) AS q(j) WHERE i <> 0 OR j <> 0), st AS (SELECT gid, ix, iy, count(*) AS n, max(v) AS top, avg(v) AS mean FROM nb GROUP BY ALL)"
 
+_MIDDLE = "md AS (SELECT gid, ix, iy, count(*) AS n, list_sort(list(v))[(count(*) // 2 + 1)::INT] AS middle FROM nb GROUP BY ALL)"
+
 
 @query("n_local_maxima", f"WITH {GRID}, {_NEIGH} SELECT gid, ix, iy, v FROM grid JOIN st USING (gid, ix, iy) WHERE v >= top AND n >= 2")
 def _(t, s):
-    """Cells not lower than their neighbours."""
+    """Cells not lower than their neighbours."""
     return cells.local_maxima(grid(t))
 
 
-@query("n_despeckle", f"WITH {GRID}, {_NEIGH}, m AS (SELECT gid, ix, iy, CASE WHEN v IS NOT NULL AND coalesce(n, 0) > 0 THEN v WHEN v IS NULL AND n >= 6 THEN mean END AS v FROM grid FULL JOIN st USING (gid, ix, iy)) SELECT gid, ix, iy, round(v, 6) AS v FROM m WHERE v IS NOT NULL")
+@query("n_despeckle", f"WITH {GRID}, {_NEIGH}, {_MIDDLE}, m AS (SELECT gid, ix, iy, CASE WHEN v IS NOT NULL AND coalesce(n, 0) > 0 THEN v WHEN v IS NULL AND n >= 6 THEN middle END AS v FROM grid FULL JOIN md USING (gid, ix, iy)) SELECT gid, ix, iy, v FROM m WHERE v IS NOT NULL")
 def _(t, s):
-    """Lone cells go, enclosed gaps fill."""
-    return cells.despeckled(grid(t)).withColumn("v", F.round("v", 6))
+    """Lone cells go, enclosed gaps take the upper median of their neighbours."""
+    return cells.despeckled(grid(t))
 
 
 @query("n_close_gaps", f"""
-WITH {GRID}, {_NEIGH}, dl AS (SELECT gid, ix, iy, coalesce(v, top) AS v FROM grid FULL JOIN st USING (gid, ix, iy)), n2 AS (SELECT gid, ix + i AS ix, iy + j AS iy, count(*) AS n FROM dl, range(-1, 2) AS p(i), range(-1, 2) AS q(j) WHERE i <> 0 OR j <> 0 GROUP BY ALL),
-e AS (SELECT dl.* FROM dl JOIN n2 USING (gid, ix, iy) WHERE n = 8) SELECT gid, ix, iy, v FROM grid UNION ALL SELECT gid, ix, iy, v FROM e ANTI JOIN grid USING (gid, ix, iy)""")
+WITH {GRID}, {_NEIGH}, {_MIDDLE}, dl AS (SELECT gid, ix, iy, coalesce(v, top) AS v FROM grid FULL JOIN st USING (gid, ix, iy)), n2 AS (SELECT gid, ix + i AS ix, iy + j AS iy, count(*) AS n FROM dl, range(-1, 2) AS p(i), range(-1, 2) AS q(j) WHERE i <> 0 OR j <> 0 GROUP BY ALL),
+e AS (SELECT gid, ix, iy FROM dl JOIN n2 USING (gid, ix, iy) WHERE n = 8) SELECT gid, ix, iy, v FROM grid UNION ALL SELECT gid, ix, iy, middle FROM e JOIN md USING (gid, ix, iy) ANTI JOIN grid USING (gid, ix, iy) WHERE n >= 4""")
 def _(t, s):
-    """Closing by dilation and erosion."""
+    """Closing by dilation and erosion; a closed place takes the median of four cells or more beside it."""
     return cells.closed(grid(t))
 
 
@@ -63,14 +65,14 @@ g1 AS (SELECT gid, ix, iy, v FROM seed UNION ALL SELECT gid, ix, iy, m FROM n1 S
 n2 AS (SELECT gid, ix + i AS ix, iy + j AS iy, count(*) AS n, avg(v) AS m FROM g1, range(-1, 2) AS p(i), range(-1, 2) AS q(j) WHERE i <> 0 OR j <> 0 GROUP BY ALL)
 SELECT gid, ix, iy, round(v, 6) AS v FROM g1 UNION ALL SELECT gid, ix, iy, round(m, 6) FROM n2 SEMI JOIN ok USING (gid, ix, iy) ANTI JOIN g1 USING (gid, ix, iy) WHERE n >= 3""")
 def _(t, s):
-    """Growth in synchronous passes inside allowed cells."""
+    """Growth in synchronous passes inside allowed cells (a part of N13)."""
     g = grid(t)
     return cells.grown(g.where("v > 40"), g.select("gid", "ix", "iy"), 2, 3).withColumn("v", F.round("v", 6))
 
 
 @query("n_merge_sources", f"WITH {GRID}, a AS (SELECT * FROM grid WHERE ix % 2 = 0), b AS (SELECT gid, ix, iy, v + 1 AS v FROM grid WHERE iy % 3 <> 0) SELECT gid, ix, iy, coalesce(a.v, b.v) AS v, CASE WHEN a.v IS NOT NULL THEN 'measured' ELSE 'model' END AS source FROM a FULL JOIN b USING (gid, ix, iy)")
 def _(t, s):
-    """Measured cells over model cells."""
+    """Measured cells over model cells (a part of N14)."""
     g = grid(t)
     return cells.merged_sources(g.where("ix % 2 = 0"), g.where("iy % 3 <> 0").withColumn("v", F.col("v") + 1))
 
@@ -83,7 +85,7 @@ def _(t, s):
 
 @query("n_watershed")
 def _(t, s):
-    """Crowns by marker watershed."""
+    """Cells dealt to seeds by a marker watershed."""
     return cells.watershed(grid(t), 20.0, 4).select("gid", "ix", "iy", "segment")
 
 
@@ -100,19 +102,48 @@ def _(t, s):
 
 
 @query("n_idw", f"""
-WITH {CLOUD}, p AS (SELECT x, y, max(z) AS z FROM cloud WHERE ord % 50 = 0 GROUP BY ALL), q AS (SELECT p_partkey AS tid, (p_partkey % 97 + 0.25)::DOUBLE AS x, (p_size % 40 + 0.25)::DOUBLE AS y FROM part),
-j AS (SELECT tid, z, (q.x - p.x) ** 2 + (q.y - p.y) ** 2 AS d2 FROM q JOIN p ON abs(floor(q.x / 4) - floor(p.x / 4)) <= 1 AND abs(floor(q.y / 4) - floor(p.y / 4)) <= 1) SELECT tid, round(sum(z / d2) / sum(1 / d2), 4) AS z FROM j GROUP BY 1""")
+WITH {CLOUD}, p AS (SELECT x, y, sum(z) AS z, count(*) AS n FROM cloud GROUP BY ALL), q AS (SELECT s_suppkey AS tid, (s_suppkey * 7 % 400 / 2 + 0.25)::DOUBLE AS x, (s_suppkey * 13 % 200 / 2 + CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 0.25 END)::DOUBLE AS y FROM supplier),
+j AS (SELECT tid, z, n, (q.x - p.x) ** 2 + (q.y - p.y) ** 2 AS d2 FROM q, p) SELECT tid, round(coalesce(sum(z) FILTER (d2 = 0) / sum(n) FILTER (d2 = 0), sum(z / d2) FILTER (d2 > 0) / sum(n / d2) FILTER (d2 > 0)), 4) AS z FROM j GROUP BY 1""")
 def _(t, s):
-    """Inverse-distance interpolation by an equi-join on cells."""
-    p = cloud(t).where("ord % 50 = 0").groupBy("x", "y").agg(F.max("z").alias("z"))
-    q = t("part").select(F.col("p_partkey").alias("tid"), (F.col("p_partkey") % 97 + 0.25).alias("x"), (F.col("p_size") % 40 + 0.25).alias("y"))
-    return cells.interpolated(p, q, 4.0).withColumn("z", F.round("z", 4))
+    """Inverse-distance interpolation over all samples, targets far from any of them included."""
+    k = F.col("s_suppkey")
+    q = t("supplier").select(k.alias("tid"), (k * 7 % 400 / 2 + 0.25).alias("x"), (k * 13 % 200 / 2 + F.when(k % 3 == 0, 0.0).otherwise(0.25)).alias("y"))
+    return cells.interpolated(cloud(t).select("x", "y", "z"), q).withColumn("z", F.round("z", 4))
 
 
-@query("n_prefix_sums", f"WITH {DENSE} SELECT a.gid, a.ix, a.iy, sum(b.v) AS s FROM (SELECT * FROM grid WHERE ix < 12 AND iy < 12) a JOIN grid b ON a.gid = b.gid AND b.ix <= a.ix AND b.iy <= a.iy AND EXISTS (SELECT 1 FROM grid c WHERE c.gid = a.gid AND c.ix = a.ix AND c.iy = b.iy) GROUP BY ALL")
+@query("n_prefix_sums", f"WITH {DENSE} SELECT a.gid, a.ix, a.iy, sum(b.v) AS s FROM grid a JOIN grid b ON a.gid = b.gid AND b.ix <= a.ix AND b.iy <= a.iy GROUP BY ALL")
 def _(t, s):
     """Two-dimensional running sums."""
-    return cells.prefix_sums(dense_grid(t)).where("ix < 12 and iy < 12").select("gid", "ix", "iy", "s")
+    return cells.prefix_sums(dense_grid(t)).select("gid", "ix", "iy", "s")
+
+
+@query("n_local_deviation", f"""
+WITH {DENSE}, o AS (SELECT * FROM (VALUES (0, 0), (3, 0), (-3, 0), (0, 3), (0, -3), (3, 3), (-3, 2)) AS v(i, j))
+SELECT a.gid, a.ix, a.iy, a.v, round(sqrt(greatest(avg(b.v * b.v) - avg(b.v) ** 2, 0)), 6) AS sd FROM grid a, o JOIN grid b ON b.gid = a.gid AND b.ix = a.ix + i AND b.iy = a.iy + j GROUP BY ALL""")
+def _(t, s):
+    """The deviation over seven places around a pixel."""
+    return cells.local_deviation(dense_grid(t)).withColumn("sd", F.round("sd", 6))
+
+
+@query("n_gap_fill")
+def _(t, s):
+    """N50: unknown cells take the nearest known value along rows and columns, in place."""
+    return cells.gaps_filled(dense_grid(t).withColumn("v", F.when((F.col("ix") * 7 + F.col("iy") * 5 + F.col("gid")) % 3 != 0, F.col("v"))))
+
+
+@query("e_heights_at_points", f"""
+WITH {DENSE}, p AS (SELECT o_orderkey AS id, o_custkey % 8 AS gid, (o_orderkey * 17 % 1024 / 32 - 0.5)::DOUBLE AS px, (o_orderkey * 29 % 928 / 32 - 0.25)::DOUBLE AS py FROM orders),
+f AS (SELECT *, floor(px)::BIGINT AS x0, floor(py)::BIGINT AS y0 FROM p WHERE px BETWEEN 0 AND 30 AND py BETWEEN 0 AND 28),
+c AS (SELECT id, gid, unnest([{{'x': x0, 'y': y0, 'w': (1 - px + x0) * (1 - py + y0)}}, {{'x': least(x0 + 1, 30), 'y': y0, 'w': (px - x0) * (1 - py + y0)}}, {{'x': x0, 'y': least(y0 + 1, 28), 'w': (1 - px + x0) * (py - y0)}}, {{'x': least(x0 + 1, 30), 'y': least(y0 + 1, 28), 'w': (px - x0) * (py - y0)}}]) AS k FROM f),
+z AS (SELECT id, sum(k.w * v) AS z FROM c JOIN grid ON grid.gid = c.gid AND ix = k.x AND iy = k.y GROUP BY id)
+SELECT p.id, round(CASE WHEN z > 2 AND z <= 50 THEN floor(z * 10 + 0.5) / 10 ELSE 7.5 END, 6) AS height, CASE WHEN z > 2 AND z <= 50 THEN 'chm' ELSE 'own' END AS source FROM p LEFT JOIN z USING (id)""")
+def _(t, s):
+    """Points take a plausible height from the raster, else keep their own."""
+    k = F.col("o_orderkey")
+    p = t("orders").select(k.alias("id"), (F.col("o_custkey") % 8).alias("gid"), (k * 17 % 1024 / 32 - 0.5).alias("px"), (k * 29 % 928 / 32 - 0.25).alias("py"))
+    z = cells.bilinear_at(p, dense_grid(t), 31, 29)
+    good = (F.col("z") > 2) & (F.col("z") <= 50)
+    return z.select("id", F.round(F.when(good, F.floor(F.col("z") * 10 + 0.5) / 10).otherwise(7.5), 6).alias("height"), F.when(good, "chm").otherwise("own").alias("source"))
 
 
 @query("n_overlap_ratio", f"WITH {GRID}, a AS (SELECT gid, ix, iy FROM grid WHERE v > 20), b AS (SELECT gid, ix, iy FROM grid WHERE v < 45) SELECT gid, round(count(*) FILTER (a.ix IS NOT NULL AND b.ix IS NOT NULL) / count(*), 6) AS iou FROM a FULL JOIN b USING (gid, ix, iy) GROUP BY gid")
@@ -168,7 +199,7 @@ def _(t, s):
 
 @query("o_lattice", f"WITH {CLOUD}, l AS (SELECT x, y, arg_max(z, (ord, z)) AS z FROM cloud GROUP BY ALL) SELECT dense_rank() OVER (ORDER BY y DESC) AS \"row\", dense_rank() OVER (ORDER BY x) AS col, z FROM l")
 def _(t, s):
-    """Samples to a lattice, the last of equal places counts."""
+    """Samples to a lattice, the last of equal places counts."""
     return terrain.lattice(cloud(t)).select("row", "col", "z")
 
 

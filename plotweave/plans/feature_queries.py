@@ -43,7 +43,7 @@ def _(t, s):
 
 @query("r_trace_tiles", f"WITH {GRID} SELECT gid, count(*) AS cells, max(v) AS top FROM grid GROUP BY gid")
 def _(t, s):
-    """A named task on each payload."""
+    """A named task on each payload, here a count and a maximum."""
     return features.run_task("trace_cells", grid(t), "gid")
 
 
@@ -147,11 +147,15 @@ def _(t, s):
 
 
 @query("s_lattice_score", f"""
-WITH {POINTS}, p AS (SELECT * FROM pts WHERE id % 4 = 0), d AS (SELECT a.id, sqrt(min((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM p a JOIN p b ON a.id <> b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 900 GROUP BY a.id)
-SELECT round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS sd, round(greatest(1 - stddev_pop(d) / avg(d), 0), 6) AS score FROM d""")
-def _(t, s):
-    """How regularly points are spaced."""
-    return quality.lattice_score(points(t).where("id % 4 = 0"), 30.0).select(*[F.round(c, 6).alias(c) for c in ("mean", "sd", "score")])
+WITH {POINTS}, p AS (SELECT id, x, y FROM pts), d AS (
+  SELECT a.id, min({{'d2': (a.x - b.x) ** 2 + (a.y - b.y) ** 2, 'o': b.id, 'dx': a.x - b.x, 'dy': a.y - b.y}}) AS b FROM p a JOIN p b ON a.id <> b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 > 1 GROUP BY a.id),
+e AS (SELECT sqrt(b.d2) AS d, abs(atan2(b.dy, b.dx)) % (pi() / 2) AS q FROM d),
+g AS (SELECT count(*) AS n, stddev_pop(d) / avg(d) AS cv, avg((least(q, pi() / 2 - q) < 12 * pi() / 180)::INT) AS ax, list_sort(list(d))[(count(*) // 2 + 1)::INT] AS md FROM e),
+s AS (SELECT *, CASE WHEN cv < 0.22 THEN 0.55 WHEN cv < 0.32 THEN 0.25 ELSE 0 END + CASE WHEN ax > 0.6 THEN 0.45 ELSE ax * 0.35 END AS score FROM g)
+SELECT n, round(cv, 6) AS cv, round(ax, 6) AS axis_share, round(md, 6) AS median_nn, round(score, 6) AS score, score >= 0.75 AND n >= 24 AS reject FROM s""")
+def _(t, s):
+    """How much the points look like an orchard, by all points and their nearest other."""
+    return quality.lattice_score(points(t), 8.0).select("n", *[F.round(c, 6).alias(c) for c in ("cv", "axis_share", "median_nn", "score")], "reject")
 
 
 @query("s_class_precision", f"""

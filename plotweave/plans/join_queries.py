@@ -66,7 +66,7 @@ def _(t, s):
     return joins.nearest(points(t).select("id", "x", "y"), _suppliers(t), "id", "sid", 50.0).select("id", "sid", "d2")
 
 
-@query("e_nearest_last", f"WITH {POINTS}, {_SUP}, j AS (SELECT id, sid, (x - sx) * (x - sx) + (y - sy) * (y - sy) AS d2 FROM pts, sup) SELECT id, arg_min(sid, (d2, -sid)) AS sid FROM j WHERE d2 < 400 GROUP BY id")
+@query("e_nearest_last", f"WITH {POINTS}, {_SUP}, j AS (SELECT id, sid, (x - sx) * (x - sx) + (y - sy) * (y - sy) AS d2 FROM pts, sup) SELECT id, arg_min(sid, (d2, -sid)) AS sid FROM j WHERE d2 <= 400 GROUP BY id")
 def _(t, s):
     """The same with the last of equally near donors."""
     return joins.nearest(points(t).select("id", "x", "y"), _suppliers(t), "id", "sid", 20.0, last_on_tie=True).select("id", "sid")
@@ -109,7 +109,7 @@ o AS (SELECT m.fid, arg_max(s.height, (s.rank, -s.ord)) AS height, arg_max(s.sou
 SELECT p.fid, coalesce(o.height, p.height) AS height, coalesce(o.source, p.source) AS source FROM p LEFT JOIN o USING (fid)
 UNION ALL SELECT fid, height, source FROM q WHERE fid NOT IN (SELECT sid FROM m)""")
 def _(t, s):
-    """Match by containment or nearness, take the better-ranked height, append the rest."""
+    """E3, E6, E7, and E1 for axis-aligned boxes: match by containment or nearness, take the better-ranked height, append the rest."""
     b = boxes(t)
     return conflation.conflated(b.where("fid % 2 = 0"), b.where("fid % 2 = 1"), 16.0).select("fid", "height", "source")
 
@@ -130,7 +130,7 @@ def _(t, s):
 WITH p AS (SELECT c_nationkey AS k, max(c_acctbal) AS v, max(c_custkey % 7) AS r FROM customer WHERE c_nationkey % 4 <> 1 GROUP BY 1), s AS (SELECT s_nationkey AS k, max(s_acctbal) AS v, max(s_suppkey % 9) AS r FROM supplier WHERE s_nationkey % 5 <> 2 GROUP BY 1)
 SELECT coalesce(p.k, s.k) AS k, CASE WHEN s.r IS NOT NULL AND (p.r IS NULL OR s.r > p.r) THEN s.v ELSE p.v END AS v, CASE WHEN s.r IS NOT NULL AND (p.r IS NULL OR s.r > p.r) THEN 'secondary' ELSE 'primary' END AS origin FROM p FULL JOIN s ON p.k = s.k""")
 def _(t, s):
-    """A coalescing full join by rank."""
+    """A coalescing full join by rank."""
     p = t("customer").where("c_nationkey % 4 <> 1").groupBy(F.col("c_nationkey").alias("k")).agg(F.max("c_acctbal").alias("v"), F.max(F.col("c_custkey") % 7).alias("r"))
     q = t("supplier").where("s_nationkey % 5 <> 2").groupBy(F.col("s_nationkey").alias("k")).agg(F.max("s_acctbal").alias("v"), F.max(F.col("s_suppkey") % 9).alias("r"))
     return joins.priority_upsert(p, q, ["k"], "v", "r")
@@ -166,7 +166,7 @@ def _(t, s):
 
 @query("e_segment_distance", "WITH p AS (SELECT p_partkey AS id, (p_partkey % 101)::DOUBLE AS x, p_size::DOUBLE AS y FROM part), c AS (SELECT *, least(greatest(((x - 10) * 60 + (y - 5) * 30) / 4500, 0), 1) AS k FROM p) SELECT id, round(sqrt((x - (10 + k * 60)) ** 2 + (y - (5 + k * 30)) ** 2), 6) AS d FROM c")
 def _(t, s):
-    """Distance to a segment."""
+    """Distance to one segment."""
     d = joins.segment_distance((F.col("p_partkey") % 101).cast("double"), F.col("p_size").cast("double"), 10.0, 5.0, 70.0, 35.0)
     return t("part").select(F.col("p_partkey").alias("id"), F.round(d, 6).alias("d"))
 
@@ -186,7 +186,7 @@ def _(t, s):
 WITH {BOXES}, {_PAIRS} SELECT a, b, round(inter, 6) AS both, round((h.x1 - h.x0) * (h.y1 - h.y0) - inter, 6) AS only_a, round((h.x1 - h.x0) * (h.y1 - h.y0) + (g.x1 - g.x0) * (g.y1 - g.y0) - inter, 6) AS either,
   round((h.x1 - h.x0) * (h.y1 - h.y0) + (g.x1 - g.x0) * (g.y1 - g.y0) - 2 * inter, 6) AS one FROM pr JOIN bx h ON h.fid = a JOIN bx g ON g.fid = b""")
 def _(t, s):
-    """Areas of polygon intersection, difference, union and symmetric difference, by slabs."""
+    """Areas of polygon intersection, difference, union and symmetric difference, by slabs."""
     import pandas as pd
 
     from plotweave.functions import polygons as pg

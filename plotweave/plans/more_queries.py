@@ -64,7 +64,7 @@ def _(t, s):
 
 @query("f_summary_lines", f"WITH {USAGE} SELECT host, host || ': ' || count(*) || ' events, ' || count(DISTINCT visitor) || ' visitors' AS line FROM ev GROUP BY host")
 def _(t, s):
-    """Counters as text."""
+    """A line of counters per host (the shape of B13, B14, F28 and F29, not their records)."""
     g = usage_events(t).groupBy("host").agg(F.count("*").alias("n"), F.countDistinct("visitor").alias("u"))
     return g.select("host", F.format_string("%s: %d events, %d visitors", "host", "n", "u").alias("line"))
 
@@ -101,7 +101,7 @@ def _(t, s):
 
 @query("m_base64_and_flags", "SELECT c_custkey AS id, to_base64(encode(c_name)) AS body, CASE c_nationkey % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE true END AS flag FROM customer")
 def _(t, s):
-    """Encoded bodies and lenient booleans."""
+    """M3, M7, M8: encoded bodies and lenient booleans."""
     raw = F.when(F.col("c_nationkey") % 4 == 0, "TRUE").when(F.col("c_nationkey") % 4 == 1, "1").when(F.col("c_nationkey") % 4 == 2, "no")
     return t("customer").select(F.col("c_custkey").alias("id"), F.base64(F.col("c_name").cast("binary")).alias("body"), text.truthy(raw, True).alias("flag"))
 

@@ -107,10 +107,10 @@ def _(t, s):
 
 
 @query("k_clean_markup", """
-SELECT page_id AS id, length(replace(html, chr(13) || chr(10), chr(10))) AS n_clean, replace(replace(replace(replace(replace(replace(substr(html, 1, 400), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS decoded FROM pages""")
+SELECT page_id AS id, length(replace(html, chr(13) || chr(10), chr(10))) AS n_clean, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS decoded FROM pages""")
 def _(t, s):
     """Line ends and control marks, entities."""
-    return t("pages").select(F.col("page_id").alias("id"), F.length(text.clean("html")).alias("n_clean"), text.decode_entities(F.substring("html", 1, 400)).alias("decoded"))
+    return t("pages").select(F.col("page_id").alias("id"), F.length(text.clean("html")).alias("n_clean"), text.decode_entities("html").alias("decoded"))
 
 
 @query("l_calendar_keys", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -100,3 +100,25 @@ class PageReader(DataSourceReader):
 
     def read(self, partition: Page) -> Iterator[tuple]:
         yield from self.fetch(partition.first, partition.size)
+
+
+def dem_samples(bodies: DataFrame, body: str) -> DataFrame:
+    """(the other columns, i, lon, lat, z): samples of an elevation service's JSON body; those without finite numbers, or with
+    heights outside -500..9000 m, drop out. A body that is no such JSON gives none."""
+    schema = "struct<samples: array<struct<location: struct<x: double, y: double>, value: string>>>"
+    rest = [c for c in bodies.columns if c != body]
+    rows = bodies.select(*rest, F.posexplode(F.from_json(body, schema)["samples"]).alias("i", "s"))
+    z = F.col("s.value").try_cast("double")
+    out = rows.select(*rest, "i", F.col("s.location.x").alias("lon"), F.col("s.location.y").alias("lat"), z.alias("z"))
+    return out.where("lon is not null and lat is not null and not isnan(lon) and not isnan(lat) and z between -500 and 9000")
+
+
+def geometry_rings(geometry: Column) -> Column:
+    """The outer rings of a GeoJSON geometry in text."""
+    from plotweave.functions.rings import exterior_rings
+
+    kind = F.get_json_object(geometry, "$.type")
+    part = "array<array<array<double>>>"
+    raw = F.get_json_object(geometry, "$.coordinates")
+    polygons = F.when(kind == "Polygon", F.array(F.from_json(raw, part))).when(kind == "MultiPolygon", F.from_json(raw, f"array<{part}>"))
+    return exterior_rings(kind, polygons)

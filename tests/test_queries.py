@@ -56,3 +56,51 @@ def test_entry_needs_no_llm(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert not any(k.startswith("op") for k in entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_gap_fill_equals_a_walk(spark):
+    import random
+
+    from plotweave.operators.cells import gaps_filled
+
+    rng = random.Random(4)
+    rows = [(g, x, y, float(rng.randint(1, 99)) if rng.random() < 0.3 else None) for g in range(3) for x in range(9) for y in range(7)]
+    rows += [(3, 0, 0, None), (3, 1, 0, None)]
+    got = {(r["gid"], r["ix"], r["iy"]): r["v"] for r in gaps_filled(spark.createDataFrame(rows, "gid long, ix long, iy long, v double")).collect()}
+    z = {(g, x, y): v for g, x, y, v in rows}
+    for _ in range(2):
+        for g, y, x in sorted((g, y, x) for (g, x, y), v in z.items()):
+            if z[g, x, y] is None:
+                for d in range(1, 9):
+                    near = [z.get(p) for p in ((g, x - d, y), (g, x + d, y), (g, x, y - d), (g, x, y + d))]
+                    near = [v for v in near if v is not None]
+                    if near:
+                        z[g, x, y] = near[0]
+                        break
+    assert {k: (None if v is None or v != v else v) for k, v in got.items()} == z
+
+
+def test_interpolation_is_over_all_samples_in_any_blocks(spark):
+    import random
+
+    from plotweave.operators.cells import interpolated
+
+    rng = random.Random(5)
+    samples = [(rng.uniform(0, 9), rng.uniform(0, 9), rng.uniform(0, 50)) for _ in range(60)] + [(2.0, 2.0, 7.0), (2.0, 2.0, 9.0)]
+    targets = [(i, rng.uniform(-20, 40), rng.uniform(0, 9)) for i in range(30)] + [(98, 2.0, 2.0), (99, 1e4, 0.0)]
+    want = {}
+    for i, x, y in targets:
+        d = [((x - a) ** 2 + (y - b) ** 2, z) for a, b, z in samples]
+        want[i] = 8.0 if i == 98 else sum(z / q for q, z in d) / sum(1 / q for q, _ in d)
+    s, t = spark.createDataFrame(samples, "x double, y double, z double"), spark.createDataFrame(targets, "tid long, x double, y double")
+    got = {r["tid"]: r["z"] for r in interpolated(s, t, sample_rows=20, target_rows=7).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    assert [r["z"] for r in interpolated(s.limit(0), t).collect()] == [None] * len(targets)
+
+
+def test_nearest_segment_is_found_however_far(spark):
+    from plotweave.operators.joins import nearest_segments
+
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 500.0, 3.0), (3, -9000.0, 0.0)], "id long, x double, y double")
+    lines = spark.createDataFrame([(3.0, 4.0, 3.0, 9.0), (490.0, 0.0, 510.0, 0.0)], "ax double, ay double, bx double, by double")
+    assert {r["id"]: round(r["d"], 6) for r in nearest_segments(points, lines, 1.0).collect()} == {1: 5.0, 2: 3.0, 3: round(math.hypot(9003, 4), 6)}
