@@ -188,6 +188,49 @@ def test_masks_hit_all_double_substitutions():
         assert any(all(o + i not in gone for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for o in range(12 - len(m) + 1))
 
 
+def fewest_substitutions(n):
+    """The fewest substitutions inside n tokens, both ends equal, that leave no mask a place."""
+    wide = max(map(len, decontaminate.MASKS))
+    states = {0: 0}
+    for i in range(n):
+        after = {}
+        for state, count in states.items():
+            for bit in (1,) if i in (0, n - 1) else (0, 1):
+                s = (state << 1 | bit) & ((1 << wide) - 1)
+                if any(i + 1 >= len(m) and s & ((1 << len(m)) - 1) & int(m, 2) == int(m, 2) for m in decontaminate.MASKS):
+                    continue
+                after[s] = min(after.get(s, n), count + 1 - bit)
+        states = after
+    return min(states.values(), default=n)
+
+
+def test_masks_hit_whatever_four_of_five_tokens_agree_in():
+    assert all(fewest_substitutions(n) > int(0.2 * n + 1e-9) for n in range(12, 121))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 6, 7, 9, 10, 11, 12, 15, 20, 30])
+def test_every_allowed_substitution_is_found(n):
+    rng = random.Random(n)
+    h = np.array([rng.getrandbits(64) for _ in range(n)], dtype=np.uint64)
+    index = decontaminate.SeedIndex(np.array([7]), h, np.array([0, n]), 0.8)
+    allowed = int(0.2 * n + 1e-9)
+    cases = list(itertools.combinations(range(1, n - 1), allowed)) if n > 2 else [()]
+    for gone in cases if len(cases) <= 400 else rng.sample(cases, 400):
+        text = np.array([rng.getrandbits(64) for _ in range(5)] + h.tolist() + [rng.getrandbits(64) for _ in range(4)], dtype=np.uint64)
+        for g in gone:
+            text[5 + g] ^= np.uint64(1)
+        offsets = np.array([0, 2, len(text)])
+        if n < 12:
+            assert list(index.short_hits(text, offsets)) == [(1, 3, 0, n - len(gone))]
+        else:
+            here, there = index.hits(text, offsets)
+            assert any(here - there == 5)
+    if n < 12 and allowed and n > 3:
+        bad = text.copy()
+        bad[5] ^= np.uint64(1)
+        assert not list(index.short_hits(bad, offsets))
+
+
 def brute_stretch(equal, least, part):
     fits = [(j - i, i) for i in range(len(equal)) for j in range(i + least, len(equal) + 1) if equal[i] and equal[j - 1] and sum(equal[i:j]) >= part * (j - i) - 1e-9]
     return max((n for n, _ in fits), default=0)
@@ -226,3 +269,43 @@ def test_decontamination_of_empty_tables(spark):
     assert decontaminate.overlaps(frame(spark, []), bench).collect() == []
     assert decontaminate.overlaps(frame(spark, documents()), bench.limit(0)).collect() == []
     assert decontaminate.decontaminated(frame(spark, documents()), bench.limit(0)).count() == len(documents())
+
+
+def tokens_of(text):
+    return re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (text or "").lower())
+
+
+def brute_overlaps(docs, items, part=0.8):
+    """Rows of overlaps() by all alignments of all items with all texts."""
+    out = set()
+    for i, text in docs:
+        h = tokens_of(text)
+        for j, item in items:
+            w = tokens_of(item)
+            least = min(12, len(w))
+            for shift in range(-len(w) + 1, len(h)):
+                low, high = max(0, -shift), min(len(w), len(h) - shift)
+                equal = [h[k + shift] == w[k] for k in range(low, high)]
+                if sum(equal) < part * least or not w or (len(w) < 12 and high - low < len(w)):
+                    continue
+                fits = [(a - b, b) for b in range(len(equal)) for a in range(b + least, len(equal) + 1) if equal[b] and equal[a - 1] and sum(equal[b:a]) >= part * (a - b) - 1e-9]
+                if fits:
+                    n, b = max(fits, key=lambda f: (f[0], -f[1]))
+                    out.add((i, j, low + shift + b, low + b, n, sum(equal[b : b + n])))
+    return out
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(11)
+    items = [(i, sentence(rng, n)) for i, n in enumerate((1, 3, 5, 7, 10, 11, 12, 14, 15, 18, 25))] + [(50, ""), (51, None)]
+    docs = []
+    for i in range(40):
+        w = sentence(rng, 25).split(" ")
+        copy = (items[rng.randrange(11)][1]).split(" ")
+        for _ in range(rng.randrange(4)):
+            copy[rng.randrange(len(copy))] = "changed"
+        docs.append((i, " ".join([*w, *copy, *w[:5]])))
+    docs += [(60, None), (61, ""), (62, items[10][1].upper() + "!"), (63, items[8][1])]
+    frame_docs = spark.createDataFrame(docs, "doc_id long, text string")
+    frame_items = spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in decontaminate.overlaps(frame_docs, frame_items).collect()} == brute_overlaps(docs, [x for x in items if x[1]])
