@@ -47,19 +47,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, rep
     return levels.select("src", "rank", "source_size", target.alias("target"))
 
 
-def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: str = "mix", payload: bool = False) -> DataFrame:
-    """How many copies of each document the mix takes: one row per input row with doc_id, size, source_size, target,
-    copies and taken, or with payload=True `_row`, the input row as a struct, and `_copies`.
-
-    A null text has size 0; a null source is a source of its own, ranked last; a null doc_id is shuffled like any other
-    value. Rows alike in doc_id, text and source are interchangeable. Documents of size 0 finish with their
-    predecessor and weigh nothing; a source of size 0 has target 0 and gives nothing. An empty table gives no rows.
-    Input columns may have any names: the operator's own all start with `_`, and a payload is carried as one struct.
-    """
+def _base(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, payload: bool) -> DataFrame:
+    """_id, _size, _src, _h (the shuffle's hash), and with payload `_row`, the input row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     shuffled = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(text), F.lit(seed)))
-    base = docs.select(F.col(id_col).alias("_id"), word_count(F.col(text_col)).alias("_size"), F.col(source_col).alias("_src"), shuffled.alias("_h"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if payload else []))
-    narrow = written(base.drop("_row"), "mix-sizes")
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if payload else []
+    return docs.select(F.col(id_col).alias("_id"), word_count(F.col(text_col)).alias("_size"), F.col(source_col).alias("_src"), shuffled.alias("_h"), *row)
+
+
+def _scheduled(narrow: DataFrame, weights: tuple[int, ...], share: float, repeats: int) -> DataFrame:
+    """narrow with _rank, _source_size, _target, and _taken: for each epoch, whether the mix takes the row's copy."""
 
     def bucketed(df: DataFrame) -> DataFrame:
         return df.withColumn("_bucket", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
@@ -82,17 +79,25 @@ def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         cum = met.withColumn("_cum", F.col("_off") + F.sum("_size").over(run))
         return cum.withColumn("_finish", F.array(*[F.when(F.col("_target") > 0, (F.col("_cum") + e * F.col("_source_size")) / F.col("_target")) for e in range(repeats)]))
 
-    queue = written(entries(narrow).select(F.posexplode("_finish").alias("_epoch", "_f"), "_size", "_rank", "_h").where("_f is not null and _size > 0"), "mix-queue")
+    rows = entries(narrow)
+    queue = written(rows.select(F.posexplode("_finish").alias("_epoch", "_f"), "_size", "_rank", "_h").where("_f is not null and _size > 0"), "mix-queue")
     cut = _cut(queue, float(budget))
     mine = F.transform("_finish", lambda f, e: F.struct(f.alias("f"), F.col("_rank").alias("r"), F.col("_h").alias("h"), e.alias("e")))
-    if cut is None:
-        taken = F.filter("_finish", lambda f: f.isNotNull() & (F.col("_size") > 0))
-    else:
-        limit = F.struct(F.lit(cut[0]).alias("f"), F.lit(cut[1]).alias("r"), F.lit(cut[2]).alias("h"), F.lit(cut[3]).alias("e"))
-        taken = F.filter(mine, lambda x: x["f"].isNotNull() & (F.col("_size") > 0) & (x < limit))
-    out = entries(base if payload else narrow).withColumn("_copies", F.size(taken))
-    if payload:
-        return out.select("_row", "_copies")
+    limit = None if cut is None else F.struct(F.lit(cut[0]).alias("f"), F.lit(cut[1]).alias("r"), F.lit(cut[2]).alias("h"), F.lit(cut[3]).alias("e"))
+    return rows.withColumn("_taken", F.transform(mine, lambda x: x["f"].isNotNull() & (F.col("_size") > 0) & (F.lit(True) if limit is None else x < limit)))
+
+
+def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: str = "mix") -> DataFrame:
+    """How many copies of each document the mix takes: one row per input row with doc_id, size, source_size, target,
+    copies and taken.
+
+    A null text has size 0; a null source is a source of its own, ranked last; a null doc_id is shuffled like any other
+    value. Rows alike in doc_id, text and source are interchangeable. Documents of size 0 finish with their
+    predecessor and weigh nothing; a source of size 0 has target 0 and gives nothing. Very long texts are only counted. An
+    empty table gives no rows. Input columns may have any names.
+    """
+    narrow = written(_base(docs, id_col, text_col, source_col, seed, False), "mix-sizes")
+    out = _scheduled(narrow, weights, share, repeats).withColumn("_copies", F.size(F.filter("_taken", lambda t: t)))
     return out.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_copies").alias("copies"))
 
 
@@ -118,10 +123,25 @@ def _cut(queue: DataFrame, budget: float):
     return None if first is None else (first["_f"], first["_rank"], first["_h"], first["_epoch"])
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: str = "mix") -> DataFrame:
     """The mix itself: each document as many times as it is taken, with the columns of docs, whatever they are called.
 
-    Copies of a row are equal rows. Empty and null texts weigh nothing and are not taken; an empty table gives no rows.
+    In each source and epoch the mix takes a prefix of the shuffled order, so whole rows need only the prefixes' ends, a
+    row for each source; they are not shuffled where these are small. Copies of a row are equal rows. Empty and null texts
+    weigh nothing and are not taken; an empty table gives no rows.
     """
-    counted = fair_mix(docs, payload=True, **options).where("_copies > 0")
-    return counted.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    narrow = written(_base(docs, id_col, text_col, source_col, seed, False), "mix-sizes")
+    taken = _scheduled(narrow, weights, share, repeats).where("_size > 0").select("_src", "_h", F.posexplode("_taken").alias("_e", "_t"))
+    alike = taken.groupBy("_src", "_e", "_h").agg(F.count("*").alias("_all"), F.count_if("_t").alias("_some"))
+    last = alike.where("_some > 0").groupBy("_src", "_e").agg(F.max(F.struct("_h", "_all", "_some")).alias("_c"))
+    ends = written(last.groupBy(F.col("_src").alias("_esrc")).agg(F.sort_array(F.collect_list("_c")).alias("_ends")), "mix-ends")
+    rows = _base(docs, id_col, text_col, source_col, seed, True).where("_size > 0").join(ends, F.col("_src").eqNullSafe(F.col("_esrc")))
+    if ends.where(F.exists("_ends", lambda c: c["_some"] < c["_all"])).isEmpty():
+        counted = rows.withColumn("_copies", F.size(F.filter("_ends", lambda c: F.col("_h") <= c["_h"])))
+    else:  # only some of the rows alike at an end are taken: the first ones by their hash
+        before = F.size(F.filter("_ends", lambda c: F.col("_h") < c["_h"]))
+        at_end = F.exists("_ends", lambda c: F.col("_h") == c["_h"])
+        nth = F.row_number().over(W.partitionBy("_src", "_h").orderBy(F.xxhash64(F.to_json("_row"))))
+        some = rows.where(at_end).withColumn("_n", nth).withColumn("_copies", before + F.size(F.filter("_ends", lambda c: (F.col("_h") == c["_h"]) & (F.col("_n") <= c["_some"]))))
+        counted = rows.where(~at_end).withColumn("_copies", before).select("_row", "_copies").unionByName(some.select("_row", "_copies"))
+    return counted.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

@@ -74,6 +74,21 @@ def test_mix_meets_targets(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.fair_mix(frame(spark, rows)).collect()))
 
 
+def test_mixed_rows_are_those_that_fair_mix_counts(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), "en", rng.choice(["a", "b", "c", None]), 0) for i in range(300)]
+    for repeated in ([], [(7, "the same words again", "en", "a", k) for k in range(150)]):
+        d = frame(spark, rows + repeated).withColumnRenamed("n_chars", "_copies")
+        want = defaultdict(int)
+        for r in mixing.fair_mix(d).collect():
+            want[r["doc_id"]] += r["copies"]
+        got = defaultdict(int)
+        mixed = mixing.mixed_rows(d).collect()
+        for r in mixed:
+            got[r["doc_id"]] += 1
+        assert got == {k: v for k, v in want.items() if v} and sorted(mixed, key=str) == sorted(mixing.mixed_rows(d.repartition(3)).collect(), key=str)
+
+
 def brute_targets(sizes, weights=(3, 1, 2)):
     names = sorted(sizes)
     w = {s: weights[i % 3] for i, s in enumerate(names)}
