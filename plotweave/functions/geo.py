@@ -238,3 +238,30 @@ def restroom_label(lon, lat) -> Column:
     inside = lambda a, b, c, d: (x > a) & (x < b) & (y > c) & (y < d)
     states = inside(-125, -66.5, 24.4, 49.4) | ((x < -129.9) & (y > 51) & (y < 72)) | inside(-161, -154, 18.5, 22.6) | inside(-67.5, -65, 17.8, 18.6)
     return F.when(x.isNull() | y.isNull(), "Toilets").when(in_canada(x, y), "Washrooms").when(states, "Restrooms").otherwise("Toilets")
+
+
+def transverse_mercator(lon, lat, meridian: float = 27.0, scale: float = 0.9996, false_east: float = 500_000.0, axis: float = 6_378_137.0, flattening: float = 1 / 298.257222101) -> Column:
+    """struct<east, north> in metres by Snyder's series for the ellipsoid; the defaults are those of ETRS-TM35FIN on GRS80."""
+    e2 = flattening * (2 - flattening)
+    second = e2 / (1 - e2)
+    phi = F.radians(col(lat))
+    # the meridian's arc: coefficients of phi, sin 2 phi, sin 4 phi, sin 6 phi
+    arc = (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256, -(3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024), 15 * e2**2 / 256 + 45 * e2**3 / 1024, -35 * e2**3 / 3072)
+    along = axis * (phi * arc[0] + F.sin(phi * 2) * arc[1] + F.sin(phi * 4) * arc[2] + F.sin(phi * 6) * arc[3])
+    radius = axis / F.sqrt(1 - F.pow(F.sin(phi), 2) * e2)
+    t, c = F.pow(F.tan(phi), 2), F.pow(F.cos(phi), 2) * second
+    a = F.radians(col(lon) - meridian) * F.cos(phi)
+    east = a + (1 - t + c) * F.pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * second) * F.pow(a, 5) / 120
+    north = F.pow(a, 2) / 2 + (5 - t + 9 * c + 4 * c * c) * F.pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * second) * F.pow(a, 6) / 720
+    return F.struct((false_east + scale * radius * east).alias("east"), (scale * (along + radius * F.tan(phi) * north)).alias("north"))
+
+
+def degree_tiles(west, south, east, north) -> Column:
+    """array<struct<lat, lon>> of the whole-degree tiles under a box, by their lower left corners; an upper edge on a degree adds none."""
+    span = lambda a, b: F.sequence(F.floor(col(a)), F.floor(F.greatest(col(a), col(b) - 1e-12)))
+    return F.flatten(F.transform(span(south, north), lambda y: F.transform(span(west, east), lambda x: F.struct(y.alias("lat"), x.alias("lon")))))
+
+
+def prefixes(low, high, pad: float) -> Column:
+    """Every hundredth of a range, as text: what a coordinate in it begins with."""
+    return F.transform(F.sequence(F.floor((col(low) - pad) * 100), F.ceil((col(high) + pad) * 100)), lambda i: F.format_string("%.2f", i / 100))

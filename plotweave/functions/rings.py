@@ -263,3 +263,59 @@ def needle_corners(r, degrees: float = 30.0) -> Column:
 def is_shadow_trace(r, least_area: float = 20_000.0) -> Column:
     """A large ring with three needle corners or more follows a shadow, not a roof. Coordinates in metres."""
     return (F.size(col(r)) >= 4) & (area(r) >= least_area) & (needle_corners(r) >= 3)
+
+
+def crosses_itself(r, most: int = 600) -> Column:
+    """Whether two edges that share no vertex cross; rings of over `most` vertices aren't tried."""
+    o = open_ring(r)
+    edges = F.transform(_pairs(o, lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda e, i: F.struct(e["p"].alias("p"), e["q"].alias("q"), i.alias("i")))
+    side = lambda a, b, c: F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+    apart = lambda a, b: (b["i"] > a["i"] + 1) & ~((a["i"] == 0) & (b["i"] == F.size(o) - 1))
+    cut = lambda a, b: (side(a["p"], a["q"], b["p"]) * side(a["p"], a["q"], b["q"]) < 0) & (side(b["p"], b["q"], a["p"]) * side(b["p"], b["q"], a["q"]) < 0)
+    return F.size(o).between(4, most) & F.exists(edges, lambda a: F.exists(edges, lambda b: apart(a, b) & cut(a, b)))
+
+
+def needled(r, least_m2: float = 20_000.0, sharp: float = 30.0, corners: int = 3) -> Column:
+    """Whether a lon/lat ring of at least least_m2 has `corners` corners sharper than `sharp` degrees: a traced shadow."""
+    o = open_ring(r)
+    lat = F.get(o, F.lit(0))["y"]
+    flat = F.transform(o, lambda p: point(p["x"] * 111_320.0 * F.cos(F.radians(lat)), p["y"] * 110_950.0))
+    n = F.size(o)
+
+    def spike(b: Column, i: Column) -> Column:
+        a, c = F.get(flat, (i + n - 1) % n), F.get(flat, (i + 1) % n)
+        dot = (a["x"] - b["x"]) * (c["x"] - b["x"]) + (a["y"] - b["y"]) * (c["y"] - b["y"])
+        long = F.hypot(a["x"] - b["x"], a["y"] - b["y"]) * F.hypot(c["x"] - b["x"], c["y"] - b["y"])
+        return (long > 0) & (dot / F.when(long > 0, long) > math.cos(math.radians(sharp)))
+
+    return (F.size(col(r)) >= 5) & (area(flat) >= least_m2) & (F.size(F.filter(F.transform(flat, spike), lambda s: s)) >= corners)
+
+
+def sloped_ramp(r) -> Column:
+    """Whether four vertices <x, y, z> make a plane ramp: level lower and upper edge, the second pair higher, no repeated place."""
+    r = col(r)
+    z = [F.get(r, F.lit(i))["z"] for i in range(4)]
+    steps = F.exists(_pairs(r, lambda p, q: (p["x"] == q["x"]) & (p["y"] == q["y"])), lambda s: s)
+    return (F.size(r) == 4) & ~steps & (z[0] == z[1]) & (z[2] == z[3]) & (z[2] > z[0]) & (2 * area(r) > 1e-4)
+
+
+def convex_quad(r) -> Column:
+    """Whether four vertices turn left at each corner, by more than a hair."""
+    r = col(r)
+    at = lambda i: F.get(r, F.lit(i % 4))
+    turn = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - b["y"]) - (b["y"] - a["y"]) * (c["x"] - b["x"])
+    lefts = [turn(at(i), at(i + 1), at(i + 2)) > 1e-4 for i in range(4)]
+    return (F.size(r) == 4) & lefts[0] & lefts[1] & lefts[2] & lefts[3]
+
+
+#: Square metres, metres, shape and height that a lone tree's outline keeps to.
+TREE_AREA, TREE_SIDES, TREE_ASPECT, TREE_FILL, TREE_HEIGHT = (20.0, 320.0), (6.0, 22.0), 1.8, 0.45, (5.0, 50.0)
+
+
+def lone_tree(r, height, metres_x: float, metres_y: float) -> Column:
+    """Whether an outline in pixels has the size and shape of one tree of that height, its vertex centroid inside."""
+    b, c = bounds(r), vertex_centroid(r)
+    w, d, m2 = (b["x1"] - b["x0"]) * metres_x, (b["y1"] - b["y0"]) * metres_y, area(r) * metres_x * metres_y
+    long, short = F.greatest(w, d), F.least(w, d)
+    shape = (short >= TREE_SIDES[0]) & (long <= TREE_SIDES[1]) & (long <= short * TREE_ASPECT) & (m2 >= w * d * TREE_FILL)
+    return (F.size(col(r)) >= 4) & (col(height) >= TREE_HEIGHT[0]) & (col(height) < TREE_HEIGHT[1]) & m2.between(*TREE_AREA) & shape & contains(r, c["x"], c["y"])

@@ -208,3 +208,19 @@ def project_year(name) -> Column:
     years = F.transform(F.regexp_extract_all(n, F.lit(r"(\d{4})"), F.lit(1)), lambda y: y.cast("int"))
     block = 2000 + F.nullif(F.regexp_extract(n, r"[BD](\d{2})(?:_|\b)", 1), F.lit("")).cast("int")
     return F.coalesce(F.array_max(F.filter(F.concat(years, F.array(block)), lambda y: y.between(2000, 2030))), F.lit(0))
+
+
+def element_tags(s) -> Column:
+    """map<string, string> of the <tag k="..." v="..."/> elements of a fragment; the last one of a key counts."""
+    pattern = r'<tag k="([^"]*)" v="([^"]*)"\s*/>'
+    pairs = F.arrays_zip(F.regexp_extract_all(col(s), F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(col(s), F.lit(pattern), F.lit(2)).alias("v"))
+    known = F.transform(pairs, lambda p: F.struct(decode_entities(p["k"]).alias("k"), decode_entities(p["v"]).alias("v")))
+    last = F.filter(F.transform(known, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))), lambda p: ~F.exists(F.slice(known, p["i"] + 2, F.size(known)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
+
+
+def percent_sample(s) -> Column:
+    """A raster sample's first number, where it is a percentage; empty text is 0, anything else null."""
+    first = F.regexp_extract(col(s), r"^[^,\s]*", 0)
+    n = F.when(first == "", 0.0).when(first.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), first.cast("double"))
+    return F.when(col(s).isNotNull() & n.between(0, 100), n)

@@ -182,3 +182,22 @@ def month_sweep(events: DataFrame, today: str) -> DataFrame:
     g = m.groupBy("month").agg(F.countDistinct("visitor").alias("users"), F.count_if(F.col("kind") == "pv").alias("views"), F.count("*").alias("n"))
     g = g.withColumn("due", month_due("month", F.to_date(F.lit(today))))
     return g.select("month", "due", "users", "views", F.when(F.col("due"), 0).otherwise(F.col("n")).alias("raw_left"))
+
+
+def bounded_sample(df: DataFrame, keys: list[str], order: list[str], value: str, cap: int, every: int = 4) -> DataFrame:
+    """keys, slot, value: what a running sample of `cap` slots holds after the last row. The first cap rows fill it; of the
+    later ones each `every`-th, counted from 1, overwrites the slot of its number modulo cap.
+
+    A slot's last writer is an aggregate, so only the numbering needs a window, one within each key.
+    """
+    n = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    slot = F.when(F.col("_n") <= cap, F.col("_n") - 1).when(F.col("_n") % every == 0, F.col("_n") % cap)
+    written = df.withColumn("_n", n).withColumn("slot", slot).where("slot is not null")
+    return written.groupBy(*keys, "slot").agg(F.max_by(value, "_n").alias(value))
+
+
+def settled(calls: DataFrame, keys: list[str], at: str, order: list[str], wait: int) -> DataFrame:
+    """The calls after which `wait` seconds pass without another of the key, with fires_at: a trailing debounce."""
+    following = F.lead(at).over(W.partitionBy(*keys).orderBy(at, *order))
+    due = F.col(at) + F.make_dt_interval(secs=F.lit(wait))
+    return calls.withColumn("_next", following).where(F.col("_next").isNull() | (F.col("_next") >= due)).withColumn("fires_at", due).drop("_next")

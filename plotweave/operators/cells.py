@@ -360,3 +360,23 @@ def overlap_ratio(a: DataFrame, b: DataFrame) -> DataFrame:
     """(gid, iou) of two cell sets."""
     m = a.select("gid", "ix", "iy", F.lit(1).alias("a")).join(b.select("gid", "ix", "iy", F.lit(1).alias("b")), ["gid", "ix", "iy"], "full")
     return m.groupBy("gid").agg((F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)) / F.count("*")).alias("iou"))
+
+
+def disc(radius: int) -> tuple[tuple[int, int], ...]:
+    """The offsets within a radius, the middle included."""
+    span = range(-radius, radius + 1)
+    return tuple((i, j) for i in span for j in span if i * i + j * j <= radius * radius)
+
+
+def dilated_within(cells: DataFrame, allowed: DataFrame, radius: int) -> DataFrame:
+    """(gid, ix, iy): the places of `allowed` within the radius of a cell, cells included."""
+    places = ["gid", "ix", "iy"]
+    return allowed.select(*places).distinct().join(shifted(cells, disc(radius)).select(*places), places, "left_semi")
+
+
+def looked_up(points: DataFrame, cells: DataFrame, west: float, south: float, east: float, north: float, wide: int, high: int) -> DataFrame:
+    """points with `height`: the value of the cell, counted from the upper left corner, that a point lies in, 0 where there is none."""
+    ix, iy = F.floor((F.col("x") - west) / (east - west) * wide), F.floor((north - F.col("y")) / (north - south) * high)
+    g = cells.select(F.col("ix").cast("long").alias("_ix"), F.col("iy").cast("long").alias("_iy"), F.col("v").alias("_v")).where(F.col("_ix").between(0, wide - 1) & F.col("_iy").between(0, high - 1))
+    met = points.withColumns({"_ix": ix, "_iy": iy}).join(g, ["_ix", "_iy"], "left")
+    return met.withColumn("height", F.coalesce("_v", F.lit(0))).drop("_ix", "_iy", "_v")

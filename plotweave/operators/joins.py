@@ -152,3 +152,37 @@ def should_replace(owner_verts, owner_area, verts, area) -> Column:
     """A candidate outline replaces its owner's if it has two vertices more at a like area."""
     r = col(area) / col(owner_area)
     return (col(verts) >= col(owner_verts) + 2) & r.between(0.65, 1.5)
+
+
+def turned_boxes_meet(a: Column, b: Column) -> Column:
+    """Whether two turned boxes, structs of centre x, y, unit direction ux, uy and half sides hl, hw, share a point: on none of
+    the four directions of their sides do their shadows part."""
+
+    def meet_on(ax: Column, ay: Column) -> Column:
+        reach = lambda s: s["hl"] * F.abs(s["ux"] * ax + s["uy"] * ay) + s["hw"] * F.abs(s["ux"] * ay - s["uy"] * ax)
+        return F.abs((b["x"] - a["x"]) * ax + (b["y"] - a["y"]) * ay) <= reach(a) + reach(b)
+
+    return meet_on(a["ux"], a["uy"]) & meet_on(-a["uy"], a["ux"]) & meet_on(b["ux"], b["uy"]) & meet_on(-b["uy"], b["ux"])
+
+
+def turned_overlaps(boxes: DataFrame, box_id: str, side: float) -> DataFrame:
+    """(a, b): pairs a < b of turned boxes that meet. Boxes are dealt to the cells of their bounds; a pair is made once, in
+    the cell of the lower left corner of what the bounds share."""
+    s = F.struct("x", "y", "ux", "uy", "hl", "hw")
+    rx, ry = F.abs(F.col("ux")) * F.col("hl") + F.abs(F.col("uy")) * F.col("hw"), F.abs(F.col("uy")) * F.col("hl") + F.abs(F.col("ux")) * F.col("hw")
+    bounded = boxes.select(box_id, s.alias("_s"), (F.col("x") - rx).alias("_x0"), (F.col("x") + rx).alias("_x1"), (F.col("y") - ry).alias("_y0"), (F.col("y") + ry).alias("_y1"))
+    d = on_cells(bounded, "_x0", "_y0", "_x1", "_y1", side)
+    e = d.withColumnsRenamed({box_id: "b", "_s": "_t", "_x0": "_u0", "_x1": "_u1", "_y0": "_v0", "_y1": "_v1"})
+    here = (F.floor(F.greatest("_x0", "_u0") / side) == F.col("_cx")) & (F.floor(F.greatest("_y0", "_v0") / side) == F.col("_cy"))
+    p = d.withColumnRenamed(box_id, "a").join(e, ["_cx", "_cy"]).where((F.col("a") < F.col("b")) & here)
+    return p.where(turned_boxes_meet(F.col("_s"), F.col("_t"))).select("a", "b")
+
+
+def boxes_near(targets: DataFrame, boxes: DataFrame, target_id: str, box_id: str, margin: float, side: float) -> DataFrame:
+    """(target_id, box_id): boxes whose bounds come within `margin` of a target's, edges included. Both have x0, y0, x1, y1."""
+    wide = targets.select(target_id, (F.col("x0") - margin).alias("_x0"), (F.col("y0") - margin).alias("_y0"), (F.col("x1") + margin).alias("_x1"), (F.col("y1") + margin).alias("_y1"))
+    a = on_cells(wide, "_x0", "_y0", "_x1", "_y1", side)
+    b = on_cells(boxes.select(box_id, "x0", "y0", "x1", "y1"), "x0", "y0", "x1", "y1", side)
+    low_x, low_y = F.greatest("x0", "_x0"), F.greatest("y0", "_y0")
+    p = a.join(b, ["_cx", "_cy"]).where((low_x <= F.least("x1", "_x1")) & (low_y <= F.least("y1", "_y1")))
+    return p.where((F.floor(low_x / side) == F.col("_cx")) & (F.floor(low_y / side) == F.col("_cy"))).select(target_id, box_id)
