@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plotweave.functions.geo import LAT_M, LON_M
-from plotweave.functions.numeric import col
+from plotweave.functions.numeric import col, let
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -267,28 +267,34 @@ def is_shadow_trace(r, least_area: float = 20_000.0) -> Column:
 
 def crosses_itself(r, most: int = 600) -> Column:
     """Whether two edges that share no vertex cross; rings of over `most` vertices aren't tried."""
-    o = open_ring(r)
-    edges = F.transform(_pairs(o, lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda e, i: F.struct(e["p"].alias("p"), e["q"].alias("q"), i.alias("i")))
+    edges = lambda o: F.transform(_pairs(o, lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda e, i: F.struct(e["p"].alias("p"), e["q"].alias("q"), i.alias("i")))
     side = lambda a, b, c: F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
-    apart = lambda a, b: (b["i"] > a["i"] + 1) & ~((a["i"] == 0) & (b["i"] == F.size(o) - 1))
     cut = lambda a, b: (side(a["p"], a["q"], b["p"]) * side(a["p"], a["q"], b["q"]) < 0) & (side(b["p"], b["q"], a["p"]) * side(b["p"], b["q"], a["q"]) < 0)
-    return F.size(o).between(4, most) & F.exists(edges, lambda a: F.exists(edges, lambda b: apart(a, b) & cut(a, b)))
+
+    def crossing(e: Column) -> Column:
+        apart = lambda a, b: ~((a["i"] == 0) & (b["i"] == F.size(e) - 1))
+        return F.size(e).between(4, most) & F.exists(e, lambda a: F.exists(F.slice(e, a["i"] + 3, F.size(e)), lambda b: apart(a, b) & cut(a, b)))
+
+    return let(let(open_ring(r), edges), crossing)
 
 
 def needled(r, least_m2: float = 20_000.0, sharp: float = 30.0, corners: int = 3) -> Column:
     """Whether a lon/lat ring of at least least_m2 has `corners` corners sharper than `sharp` degrees: a traced shadow."""
-    o = open_ring(r)
-    lat = F.get(o, F.lit(0))["y"]
-    flat = F.transform(o, lambda p: point(p["x"] * 111_320.0 * F.cos(F.radians(lat)), p["y"] * 110_950.0))
-    n = F.size(o)
+    def metres(o: Column) -> Column:
+        return let(F.cos(F.radians(F.get(o, F.lit(0))["y"])) * 111_320.0, lambda k: F.transform(o, lambda p: point(p["x"] * k, p["y"] * 110_950.0)))
 
-    def spike(b: Column, i: Column) -> Column:
-        a, c = F.get(flat, (i + n - 1) % n), F.get(flat, (i + 1) % n)
-        dot = (a["x"] - b["x"]) * (c["x"] - b["x"]) + (a["y"] - b["y"]) * (c["y"] - b["y"])
-        long = F.hypot(a["x"] - b["x"], a["y"] - b["y"]) * F.hypot(c["x"] - b["x"], c["y"] - b["y"])
-        return (long > 0) & (dot / F.when(long > 0, long) > math.cos(math.radians(sharp)))
+    def spiked(flat: Column) -> Column:
+        n = F.size(flat)
 
-    return (F.size(col(r)) >= 5) & (area(flat) >= least_m2) & (F.size(F.filter(F.transform(flat, spike), lambda s: s)) >= corners)
+        def spike(b: Column, i: Column) -> Column:
+            a, c = F.get(flat, (i + n - 1) % n), F.get(flat, (i + 1) % n)
+            dot = (a["x"] - b["x"]) * (c["x"] - b["x"]) + (a["y"] - b["y"]) * (c["y"] - b["y"])
+            long = F.hypot(a["x"] - b["x"], a["y"] - b["y"]) * F.hypot(c["x"] - b["x"], c["y"] - b["y"])
+            return (long > 0) & (dot / F.when(long > 0, long) > math.cos(math.radians(sharp)))
+
+        return (area(flat) >= least_m2) & (F.size(F.filter(F.transform(flat, spike), lambda s: s)) >= corners)
+
+    return (F.size(col(r)) >= 5) & let(let(open_ring(r), metres), spiked)
 
 
 def sloped_ramp(r) -> Column:
@@ -314,7 +320,10 @@ TREE_AREA, TREE_SIDES, TREE_ASPECT, TREE_FILL, TREE_HEIGHT = (20.0, 320.0), (6.0
 
 def lone_tree(r, height, metres_x: float, metres_y: float) -> Column:
     """Whether an outline in pixels has the size and shape of one tree of that height, its vertex centroid inside."""
-    b, c = bounds(r), vertex_centroid(r)
+    return let(F.struct(col(r).alias("r"), bounds(r).alias("b"), vertex_centroid(r).alias("c")), lambda x: _tree_shaped(x["r"], x["b"], x["c"], height, metres_x, metres_y))
+
+
+def _tree_shaped(r: Column, b: Column, c: Column, height, metres_x: float, metres_y: float) -> Column:
     w, d, m2 = (b["x1"] - b["x0"]) * metres_x, (b["y1"] - b["y0"]) * metres_y, area(r) * metres_x * metres_y
     long, short = F.greatest(w, d), F.least(w, d)
     shape = (short >= TREE_SIDES[0]) & (long <= TREE_SIDES[1]) & (long <= short * TREE_ASPECT) & (m2 >= w * d * TREE_FILL)
