@@ -1,8 +1,8 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads, with DataFrame functions only.
 
 The ring is cut into 4,096 segments (16 fine buckets each). A segment's home is the shard of the next virtual node
-clockwise. Segments are placed by falling bytes; one whose shard would overflow its bound continues clockwise to the
-first shard with room. So the law is `bytes`: every shard ends within about one small segment of the mean, and only what
+clockwise. Segments are placed by falling bytes; one whose shard would overflow its bound, the mean, continues clockwise to
+the first shard with room. A bound above the mean would move less but leave some shards far below it. So the law is `bytes`: every shard ends within about one small segment of the mean, and only what
 overflows leaves its home. Only bounded tables (65,536 rows) are ever gathered or broadcast.
 """
 
@@ -66,13 +66,13 @@ def ring_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, law, shard, slot, grown_shard, home_shard per row.
 
     The key on the ring is doc_id, so equal texts spread and no group of copies makes a shard hot. slot counts from 0
-    without gaps in each shard, by ring place, then doc_id. A null text counts as empty; null doc_ids form one key;
-    repeated rows take neighbouring slots. An empty table gives no rows. grown_shard is null: the law is `bytes`.
+    without gaps in each shard, by ring place, then doc_id. A null text counts as empty; rows with a null doc_id are placed
+    by their text instead; repeated rows take neighbouring slots; very long texts are segments that are placed first. An empty table gives no rows. grown_shard is null: the law is `bytes`.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        place_on_ring(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("fine"),
+        place_on_ring(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null#"), F.md5(text)))).alias("fine"),
     )
     narrow = written(narrow, "shard-sizes")
     fine = narrow.groupBy("fine").agg(F.count("*").alias("rows"), F.sum("size").alias("n")).withColumn("segment", F.floor(F.col("fine") / PER_SEGMENT).cast("int"))

@@ -58,6 +58,23 @@ def test_sharding_moves_only_overflow(spark):
     assert max(loads.values()) <= 1.02 * min(loads.values())
 
 
+def test_one_more_shard_moves_little(spark):
+    rng = random.Random(16)
+    rows = [(i, "x" * int(rng.lognormvariate(5, 1.2)), "en", "s", 0) for i in range(20_000)]
+    before, after = ({r["doc_id"]: r for r in sharding.ring_shards(frame(spark, rows), shards=n).collect()} for n in (16, 17))
+    total = sum(r["size"] for r in before.values())
+    assert sum(r["size"] for r in before.values() if r["shard"] != r["home_shard"]) < 0.06 * total
+    assert sum(r["size"] for i, r in before.items() if r["shard"] != after[i]["shard"]) < 1.5 * total / 17
+
+
+def test_shards_spread_null_ids(spark):
+    rows = [(None, f"text {i} " + "x" * 40, "en", "s", 0) for i in range(3000)]
+    loads = defaultdict(int)
+    for r in sharding.ring_shards(frame(spark, rows), shards=4).collect():
+        loads[r["shard"]] += r["size"]
+    assert len(loads) == 4 and max(loads.values()) <= 1.02 * min(loads.values())
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randint(0, 40)), "en", rng.choice(["a", "a", "a", "b", "c", None]), 0) for i in range(900)]
