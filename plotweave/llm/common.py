@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -48,9 +49,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def removed_after(df: DataFrame) -> None:
-    """Deletes the scratch table df, made by written(), once nothing reads it any more."""
+    """Deletes the scratch tables that df reads, made by written(), once nothing needs them any more; other inputs stay."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        remove(df.sparkSession, path)
+        if re.search(r"/plotweave/[^/]+-[0-9a-f]{32}$", path):
+            remove(df.sparkSession, path)
 
 
 def let(value: Column, body) -> Column:

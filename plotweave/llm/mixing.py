@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import WORD, written
+from plotweave.llm.common import WORD, removed_after, written
 
 BUCKETS = 4096
 LAST = 2 * BUCKETS  # finish times of 2 and above share the last histogram bucket
@@ -70,6 +70,7 @@ def _scheduled(narrow: DataFrame, weights: tuple[int, ...], share: float, repeat
         .select(F.col("_src").alias("_osrc"), F.col("_bucket").alias("_obucket"), "_off", F.col("rank").alias("_rank"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     )
     offsets = written(offsets, "mix-offsets")
+    removed_after(sums)
     budget = offsets.select("_rank", "_source_size").distinct().agg((F.sum("_source_size") * share)).first()[0] or 0.0
 
     def entries(df: DataFrame) -> DataFrame:
@@ -82,6 +83,7 @@ def _scheduled(narrow: DataFrame, weights: tuple[int, ...], share: float, repeat
     rows = entries(narrow)
     queue = written(rows.select(F.posexplode("_finish").alias("_epoch", "_f"), "_size", "_rank", "_h").where("_f is not null and _size > 0"), "mix-queue")
     cut = _cut(queue, float(budget))
+    removed_after(queue)
     mine = F.transform("_finish", lambda f, e: F.struct(f.alias("f"), F.col("_rank").alias("r"), F.col("_h").alias("h"), e.alias("e")))
     limit = None if cut is None else F.struct(F.lit(cut[0]).alias("f"), F.lit(cut[1]).alias("r"), F.lit(cut[2]).alias("h"), F.lit(cut[3]).alias("e"))
     return rows.withColumn("_taken", F.transform(mine, lambda x: x["f"].isNotNull() & (F.col("_size") > 0) & (F.lit(True) if limit is None else x < limit)))
@@ -135,6 +137,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike = taken.groupBy("_src", "_e", "_h").agg(F.count("*").alias("_all"), F.count_if("_t").alias("_some"))
     last = alike.where("_some > 0").groupBy("_src", "_e").agg(F.max(F.struct("_h", "_all", "_some")).alias("_c"))
     ends = written(last.groupBy(F.col("_src").alias("_esrc")).agg(F.sort_array(F.collect_list("_c")).alias("_ends")), "mix-ends")
+    removed_after(narrow)
     rows = _base(docs, id_col, text_col, source_col, seed, True).where("_size > 0").join(ends, F.col("_src").eqNullSafe(F.col("_esrc")))
     if ends.where(F.exists("_ends", lambda c: c["_some"] < c["_all"])).isEmpty():
         counted = rows.withColumn("_copies", F.size(F.filter("_ends", lambda c: F.col("_h") <= c["_h"])))

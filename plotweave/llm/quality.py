@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import SPACE, WORD, let, words, written
+from plotweave.llm.common import SPACE, WORD, let, removed_after, words, written
 
 #: Words in a window whose repeats are counted.
 WINDOW = 8
@@ -125,7 +125,8 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(host_col).alias("_khost"), F.xxhash64(text).alias("_khash"))
     marks = removed.select(F.col("_ehost").alias("_rhost"), F.col("_ethash").alias("_rhash"), "_hashes", F.lit(False).alias("_out"))
     marks = marks.unionByName(rejected.withColumn("_hashes", F.lit(None).cast("array<bigint>")).withColumn("_out", F.lit(True)))
-    marks = marks.groupBy("_rhost", "_rhash").agg(F.first("_hashes", ignorenulls=True).alias("_hashes"), F.max("_out").alias("_out"))
+    marks = written(marks.groupBy("_rhost", "_rhash").agg(F.first("_hashes", ignorenulls=True).alias("_hashes"), F.max("_out").alias("_out")), "quality-marks")
+    removed_after(verdicts)  # the profile and the removed lines
     met = keyed.join(marks, F.col("_khost").eqNullSafe(F.col("_rhost")) & (F.col("_khash") == F.col("_rhash")), "left").where("_out is null or not _out")
     raw = F.col("_row")[text_col]
     stay = F.array_join(F.filter(F.split(raw, "\n"), lambda x: ~F.array_contains(F.col("_hashes"), F.xxhash64(normal_line(x)))), "\n")
