@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plotweave.llm import decontaminate, dedup, mixing, quality, sharding
-from plotweave.llm.common import table, written
+from plotweave.llm.common import removed_after, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written as Parquet and read again; the last one's result is returned as it is."""
+    """All stages in order, each written as Parquet and read again, its predecessor's table then deleted; the last one's
+    result is returned as it is."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if i > 0:
+            removed_after(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
