@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,18 @@ def removed_after(df: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+@contextmanager
+def shuffle_files_freed(spark: SparkSession) -> Iterator[None]:
+    """Inside, each query's shuffle files are deleted at its end: for steps that are all written before the next one."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, by binding it to a lambda's variable."""
     return F.transform(F.array(value), body)[0]
