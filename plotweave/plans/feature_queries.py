@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plotweave.functions import geo
-from plotweave.operators import features, quality
+from plotweave.operators import features, quality, vectors
 from plotweave.plans.registry import query
 from plotweave.plans.shapes import BOXES, GRID, POINTS, boxes, grid, points
 
@@ -170,10 +170,6 @@ def _(t, s):
 
 @query("e_embedding_neighbours", "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), j AS (SELECT a.vec_id, b.vec_id AS other, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS c FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT vec_id, arg_max(other, (round(c, 9), -other)) AS other FROM j GROUP BY 1")
 def _(t, s):
-    """E15 generalised: the nearest vector of the same label, blocked by label."""
-    e = t("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    unit = e.withColumn("n", F.sqrt(dot("v", "v"))).select("vec_id", "label", F.transform("v", lambda x: x / F.col("n")).alias("v"))
-    o = unit.select(F.col("vec_id").alias("other"), "label", F.col("v").alias("w"))
-    c = F.round(dot("v", "w"), 9)
-    return unit.join(o, "label").where("vec_id <> other").groupBy("vec_id").agg(F.max_by("other", F.struct(c, -F.col("other"))).alias("other"))
+    """E15 generalised: the nearest vector of the same label, all pairs compared in tiles."""
+    e = t("embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    return vectors.nearest_vectors(e).select(F.col("id").alias("vec_id"), "other")
