@@ -91,3 +91,17 @@ def test_heights_are_borrowed_from_closer_than_the_reach_and_from_the_last(spark
     got = {r["fid"]: (r["height"], r["source"]) for r in borrowed_heights(f).collect()}
     assert len(got) == len(rows)
     assert got[1] == (None, "none") and got[3] == (7.0, "nearby") and got[101] == (8.0, "nearby") and got[100] == (8.0, "osm")
+
+
+def test_class_precision_on_crowded_places(spark):
+    """20,000 predictions and labels at each of two places, which the plain join pairs one by one; the first label decides."""
+    from pyspark.sql import functions as F
+
+    from plotweave.operators import joins
+    from plotweave.operators.quality import nearest_class_precision
+
+    rows = spark.range(40_000).select("id", F.col("id") % 2 * 1.0, F.lit(0.0), F.when(F.col("id") < 2, "a").otherwise("b")).toDF("id", "x", "y", "cls")
+    places = spark.createDataFrame([(0.0, 0.0), (1.0, 0.0)], "_x double, _y double")
+    assert joins._near_pairs(places.toDF("x", "y"), places, 10.0, True).count() == 4
+    got = {r["cls"]: (r["considered"], r["right"]) for r in nearest_class_precision(rows, rows, 10.0).collect()}
+    assert got == {"a": (2, 2), "b": (39_998, 0)}
