@@ -84,10 +84,18 @@ def unreached_tiles(boxes: DataFrame, roads: DataFrame, side: float) -> DataFram
 
 
 def replaced_lines(lines: DataFrame, boxes: DataFrame, side: float) -> DataFrame:
-    """Lines (id, x, y of the middle) that no polygon covers: a mapped deck replaces its centre line."""
-    from plotweave.operators.joins import points_in_boxes
-
-    return lines.join(points_in_boxes(lines, boxes, side).select("id").distinct(), "id", "left_anti")
+    """Lines (id, x, y of the middle) that no polygon covers: a mapped deck replaces its centre line.
+
+    Lines at one place ask once, and a semi-join leaves a place at the first box that covers it.
+    """
+    from plotweave.operators.joins import fitted_side, on_cells
+
+    s = fitted_side(boxes, side, parts=2.0)
+    spots = lines.select(F.col("x").alias("_x"), F.col("y").alias("_y")).distinct().withColumns({"_cx": F.floor(F.col("_x") / s), "_cy": F.floor(F.col("_y") / s)})
+    dealt = on_cells(boxes.select("x0", "y0", "x1", "y1").distinct(), "x0", "y0", "x1", "y1", s).withColumnsRenamed({"_cx": "_bx", "_cy": "_by"})
+    holds = (F.col("_x") >= F.col("x0")) & (F.col("_x") <= F.col("x1")) & (F.col("_y") >= F.col("y0")) & (F.col("_y") <= F.col("y1"))
+    covered = spots.join(dealt, (F.col("_cx") == F.col("_bx")) & (F.col("_cy") == F.col("_by")) & holds, "left_semi")
+    return lines.join(covered.select(F.col("_x").alias("x"), F.col("_y").alias("y")), ["x", "y"], "left_anti").select(*lines.columns)
 
 
 def dense_rows(cars: DataFrame, key: str, least: int = 8) -> DataFrame:

@@ -138,3 +138,16 @@ def test_smallest_holder_of_copies(spark):
     p = spark.range(20_000).select("id", F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
     b = spark.range(20_000).select(F.col("id").alias("fid"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("id") % 3 + 2.0).alias("x1"), F.lit(5.0).alias("y1"))
     assert [tuple(r) for r in smallest_holder(p, b, 16.0, "id", "fid").groupBy("fid").count().collect()] == [(0, 20_000)]
+
+
+def test_uncovered_lines_equal_all_pairs_and_keep_those_without_a_place(spark):
+    from plotweave.operators.features import replaced_lines
+
+    box, pts = crowd(random.Random(4), 60)
+    box = [b for b in box if b[0] != 5001]
+    want = {i for i, x, y in pts if not any(a <= x <= c and b <= y <= d for _, a, b, c, d in box)} | {9002}
+    b, p = spark.createDataFrame(box, "fid long, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame([*pts, (9002, None, 3.0), (9001, 9999.0, 1.0)], "id long, x double, y double")
+    got = [r["id"] for r in replaced_lines(p, b, 16.0).collect()]
+    assert set(got) == want and got.count(9001) == 2
+    plan = replaced_lines(p, b, 16.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "Join Inner" not in plan
