@@ -44,7 +44,7 @@ def _(t, s):
 @query("e_points_in_boxes", f"WITH {POINTS}, {BOXES} SELECT bx.fid, count(*) AS n, max(pts.v) AS top FROM pts JOIN bx ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY bx.fid")
 def _(t, s):
     """Zonal aggregates of points in boxes by an equi-join on cells."""
-    return joins.points_in_boxes(points(t), boxes(t).select("fid", "x0", "y0", "x1", "y1"), 16.0).groupBy("fid").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    return joins.box_totals(points(t), boxes(t), 16.0, "fid", "v")
 
 
 @query("e_smallest_holder", f"WITH {POINTS}, {BOXES} SELECT id, arg_min(fid, ((x1 - x0) * (y1 - y0), fid)) AS fid FROM pts JOIN bx ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY id")
