@@ -170,7 +170,7 @@ def floored_sums(events: DataFrame, keys: list[str], delta: str, order: list[str
 def reserved_slots(calls: DataFrame, keys: list[str], at: str, order: list[str], gap: int) -> DataFrame:
     """calls with `slot`: not before the call, and gap after the key's last slot: a running maximum of the calls less their turns."""
     w = W.partitionBy(*keys).orderBy(*order)
-    turn = calls.withColumn("_turn", (F.row_number().over(w) - 1) * gap)
+    turn = calls.withColumn("_turn", (F.row_number().over(w).cast("long") - 1) * gap)
     return turn.withColumn("slot", F.max(F.col(at) - F.col("_turn")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("_turn")).drop("_turn")
 
 

@@ -178,3 +178,13 @@ def test_box_totals_of_copies(spark):
     p = spark.range(20_000).select(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"), F.col("id").alias("v"))
     b = spark.range(20_000).select(F.col("id").alias("fid"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(5.0).alias("x1"), F.lit(5.0).alias("y1"))
     assert [tuple(r) for r in box_totals(p, b, 16.0, "fid", "v").groupBy("n", "top").count().collect()] == [(20_000, 19_999, 20_000)]
+
+
+def test_reserved_slots_of_a_busy_host(spark):
+    """40,000 turns of a minute are more milliseconds than 32 bits hold."""
+    from pyspark.sql import functions as F
+
+    from plotweave.operators.aggregates import reserved_slots
+
+    calls = spark.range(40_000).select(F.lit("a").alias("host"), "id", (F.col("id") * 2).alias("ms"))
+    assert reserved_slots(calls, ["host"], "ms", ["ms", "id"], 60_000).agg(F.count_if(F.col("slot") == F.col("id") * 60_000)).first()[0] == 40_000
