@@ -28,20 +28,22 @@ def _last(r: Column) -> Column:
 
 def open_ring(r) -> Column:
     """Without the closing vertex and without vertices equal to their predecessor."""
-    r = col(r)
-    shut = (F.size(r) > 1) & (F.get(r, F.lit(0)) == _last(r))
-    plain = F.when(shut, F.slice(r, 1, F.size(r) - 1)).otherwise(r)
-    return F.transform(F.filter(F.transform(plain, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda e: (e["i"] == 0) | (e["v"] != F.get(r, e["i"] - 1))), lambda e: e["v"])
+
+    def opened(r: Column) -> Column:
+        shut = (F.size(r) > 1) & (F.get(r, F.lit(0)) == _last(r))
+        plain = F.when(shut, F.slice(r, 1, F.size(r) - 1)).otherwise(r)
+        return F.filter(plain, lambda v, i: (i == 0) | (v != F.get(r, i - 1)))
+
+    return let(col(r), opened)
 
 
 def close_ring(r) -> Column:
-    r = col(r)
-    return F.when((F.size(r) > 0) & (F.get(r, F.lit(0)) != _last(r)), F.concat(r, F.slice(r, 1, 1))).otherwise(r)
+    return let(col(r), lambda r: F.when((F.size(r) > 0) & (F.get(r, F.lit(0)) != _last(r)), F.concat(r, F.slice(r, 1, 1))).otherwise(r))
 
 
 def _pairs(r: Column, of) -> Column:
     """of(vertex, next vertex) along a ring, from the last back to the first."""
-    return F.zip_with(r, F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1)), of)
+    return let(r, lambda r: F.zip_with(r, F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1)), of))
 
 
 def _total(values: Column) -> Column:
@@ -65,9 +67,7 @@ def area_m2(r) -> Column:
 
 def vertex_centroid(r) -> Column:
     """The mean of the vertices, the closing one left out."""
-    o = open_ring(r)
-    n = F.size(o)
-    return point(_total(F.transform(o, lambda p: p["x"])) / n, _total(F.transform(o, lambda p: p["y"])) / n)
+    return let(open_ring(r), lambda o: point(_total(F.transform(o, lambda p: p["x"])) / F.size(o), _total(F.transform(o, lambda p: p["y"])) / F.size(o)))
 
 
 def area_centroid(r) -> Column:
@@ -77,9 +77,8 @@ def area_centroid(r) -> Column:
 
 
 def bounds(r) -> Column:
-    r = col(r)
-    xs, ys = F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"])
-    return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+    ends = lambda x, y: F.struct(F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.array_max(x).alias("x1"), F.array_max(y).alias("y1"))
+    return let(col(r), lambda r: let(F.transform(r, lambda p: p["x"]), lambda x: let(F.transform(r, lambda p: p["y"]), lambda y: ends(x, y))))
 
 
 def bounds_meet(a: Column, b: Column, pad: float = 0.0) -> Column:
@@ -99,8 +98,8 @@ def counter_clockwise(r) -> Column:
 
 def scaled(r, k: float) -> Column:
     """About the vertex centroid."""
-    c = vertex_centroid(r)
-    return F.transform(col(r), lambda p: point(c["x"] + (p["x"] - c["x"]) * k, c["y"] + (p["y"] - c["y"]) * k))
+    about = lambda r, c: F.transform(r, lambda p: point(c["x"] + (p["x"] - c["x"]) * k, c["y"] + (p["y"] - c["y"]) * k))
+    return let(col(r), lambda r: let(vertex_centroid(r), lambda c: about(r, c)))
 
 
 def circle(x, y, diameter, sides: int = 12) -> Column:
@@ -138,26 +137,27 @@ def rounded(r, digits: int = 2) -> Column:
     """Coordinates rounded half up, vertices equal to their predecessor dropped."""
     from plotweave.functions.numeric import half_up
 
-    return F.aggregate(
-        F.transform(col(r), lambda p: point(half_up(p["x"], digits), half_up(p["y"], digits))), F.array().cast(RING),
-        lambda acc, p: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == p), acc).otherwise(F.concat(acc, F.array(p))),
-    )
+    whole = F.transform(col(r), lambda p: point(half_up(p["x"], digits), half_up(p["y"], digits)))
+    return let(whole, lambda r: F.filter(r, lambda p, i: (i == 0) | (p != F.get(r, i - 1))))
 
 
 def decimated(r, most: int) -> Column:
     """At most `most` vertices, evenly picked."""
-    r = col(r)
-    n = F.size(r)
-    return F.when(n <= most, r).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(r, F.floor(i * n / most).cast("int"))))
+    picked = lambda r: F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(r, F.floor(i * F.size(r) / most).cast("int")))
+    return let(col(r), lambda r: F.when(F.size(r) <= most, r).otherwise(picked(r)))
 
 
 def drop_collinear(r, eps: float = 1e-9) -> Column:
     """An open ring without vertices on the line of their neighbours."""
-    r = col(r)
-    n = F.size(r)
-    keep = F.transform(r, lambda p, i: F.struct(p.alias("p"), F.get(r, F.pmod(i - 1, n)).alias("a"), F.get(r, F.pmod(i + 1, n)).alias("b")))
-    bent = F.filter(keep, lambda t: F.abs((t["p"]["x"] - t["a"]["x"]) * (t["b"]["y"] - t["p"]["y"]) - (t["p"]["y"] - t["a"]["y"]) * (t["b"]["x"] - t["p"]["x"])) > eps)
-    return F.transform(bent, lambda t: t["p"])
+
+    def bent(r: Column) -> Column:
+        def keep(p: Column, i: Column) -> Column:
+            a, b = F.get(r, F.pmod(i - 1, F.size(r))), F.get(r, F.pmod(i + 1, F.size(r)))
+            return F.abs((p["x"] - a["x"]) * (b["y"] - p["y"]) - (p["y"] - a["y"]) * (b["x"] - p["x"])) > eps
+
+        return F.filter(r, keep)
+
+    return let(col(r), bent)
 
 
 def ring_key(r, digits: int = 5) -> Column:
@@ -320,11 +320,11 @@ TREE_AREA, TREE_SIDES, TREE_ASPECT, TREE_FILL, TREE_HEIGHT = (20.0, 320.0), (6.0
 
 def lone_tree(r, height, metres_x: float, metres_y: float) -> Column:
     """Whether an outline in pixels has the size and shape of one tree of that height, its vertex centroid inside."""
-    return let(F.struct(col(r).alias("r"), bounds(r).alias("b"), vertex_centroid(r).alias("c")), lambda x: _tree_shaped(x["r"], x["b"], x["c"], height, metres_x, metres_y))
+    return let(col(r), lambda r: let(F.struct(bounds(r).alias("b"), vertex_centroid(r).alias("c"), area(r).alias("a")), lambda x: _tree_shaped(r, x["b"], x["c"], x["a"], height, metres_x, metres_y)))
 
 
-def _tree_shaped(r: Column, b: Column, c: Column, height, metres_x: float, metres_y: float) -> Column:
-    w, d, m2 = (b["x1"] - b["x0"]) * metres_x, (b["y1"] - b["y0"]) * metres_y, area(r) * metres_x * metres_y
+def _tree_shaped(r: Column, b: Column, c: Column, a: Column, height, metres_x: float, metres_y: float) -> Column:
+    w, d, m2 = (b["x1"] - b["x0"]) * metres_x, (b["y1"] - b["y0"]) * metres_y, a * metres_x * metres_y
     long, short = F.greatest(w, d), F.least(w, d)
     shape = (short >= TREE_SIDES[0]) & (long <= TREE_SIDES[1]) & (long <= short * TREE_ASPECT) & (m2 >= w * d * TREE_FILL)
     return (F.size(col(r)) >= 4) & (col(height) >= TREE_HEIGHT[0]) & (col(height) < TREE_HEIGHT[1]) & m2.between(*TREE_AREA) & shape & contains(r, c["x"], c["y"])

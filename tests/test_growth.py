@@ -203,3 +203,19 @@ def test_days_of_late_gps_seconds(spark, tmp_path):
     equals_sql(spark, "l_gps_and_months", written(spark, tmp_path, orders=late))
     days = spark.createDataFrame([(400_000_000,), (1_300_000_000,), (900_000_000,), (600_000_000,)], "s int").select(gps_day("s").cast("string")).collect()
     assert [r[0] for r in days] == ["2024-05-17", "2021-03-17", "2008-07-13", None]
+
+
+def test_a_computed_ring_is_evaluated_once(spark):
+    """A ring that is an expression stands once in what is made of it; before, it was evaluated again for each use and vertex."""
+    from pyspark.sql import functions as F
+
+    from plotweave.functions import rings
+
+    ring = F.array(*[rings.point(F.lit(float(x)) + F.col("id") * 0, F.lit(float(y))) for x, y in ((0, 0), (9, 0), (9, 9), (0, 9), (0, 0))])
+    ring = F.transform(ring, lambda p: rings.point(p["x"] + F.sqrt(F.lit(49.0)), p["y"]))
+    made = {"tree": rings.lone_tree(ring, F.lit(9.0), 1.0, 1.0), "half": rings.area(rings.scaled(ring, 0.5)), "thin": F.size(rings.decimated(rings.open_ring(ring), 3)), "key": rings.ring_key(rings.open_ring(rings.rounded(ring, 2)), 1), "straight": F.size(rings.drop_collinear(rings.open_ring(ring)))}
+    df = spark.range(1).select(*[c.alias(k) for k, c in made.items()])
+    assert df._jdf.queryExecution().analyzed().toString().lower().count("sqrt(") == len(made)
+    assert tuple(df.first()) == (True, 20.25, 3, "7.0,0.0;16.0,0.0;16.0,9.0;7.0,9.0", 4)
+
+
