@@ -232,3 +232,30 @@ def test_lattice_score_of_copies(spark):
     assert (far["n"], far["median_nn"]) == (21, 1700.0)
     one = lattice_score(p.withColumns({"x": F.lit(1.0), "y": F.lit(1.0)}), 8.0).first()
     assert (one["n"], one["cv"], one["score"], one["reject"]) == (40_000, None, 0.0, False)
+
+
+def test_measured_heights_equal_all_pairs(spark):
+    from plotweave.operators.quality import measured_heights
+
+    box, _ = crowd(random.Random(6), 250)
+    box = [(*b, round(b[0] % 40 * 0.73 + 2, 2)) for b in box] + [(7000, 100.0, 0.0, 124.0, 2.0, 9.0), (7001, 200.0, 0.0, 224.5, 2.0, 8.0)]
+    spots = [(i, rng_x, rng_y, i % 40 * 0.73 + 2) for i, rng_x, rng_y in around(random.Random(7), 200)] + [(8000, 124.0, 1.0, 9.0), (8001, 224.5, 1.0, 8.0)]
+    best = []
+    for _, x, y, height in spots:
+        held = [((x - (a + c) / 2) ** 2 + (y - (b + d) / 2) ** 2, j, h) for j, a, b, c, d, h in box if a <= x <= c and b <= y <= d]
+        if held and min(held)[0] <= 144:
+            best.append((height, min(held)[2]))
+    want = (len(best), sum(abs(h - int(height * 10 + 0.5) / 10) <= 0.15 for height, h in best))
+    got = measured_heights(spark.createDataFrame(spots, "fid long, x double, y double, height double"), spark.createDataFrame(box, "oid long, x0 double, y0 double, x1 double, y1 double, h double"), 12.0, 16.0).first()
+    assert (got["eligible"], got["matched"]) == want
+
+
+def test_measured_heights_of_copies(spark):
+    """20,000 roofs and 20,000 boxes at a place: the plain join makes 4e8 pairs."""
+    from pyspark.sql import functions as F
+
+    from plotweave.operators.quality import measured_heights
+
+    spots = spark.range(20_000).select(F.col("id").alias("fid"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y"), F.lit(5.0).alias("height"))
+    drawn = spark.range(20_000).select(F.col("id").alias("oid"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(2.0).alias("x1"), F.lit(2.0).alias("y1"), (F.col("id") + 5.0).alias("h"))
+    assert tuple(measured_heights(spots, drawn, 12.0, 16.0).first()) == (20_000, 20_000, 1, 1.0)
