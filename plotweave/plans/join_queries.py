@@ -187,21 +187,22 @@ WITH {BOXES}, {_PAIRS} SELECT a, b, round(inter, 6) AS both, round((h.x1 - h.x0)
   round((h.x1 - h.x0) * (h.y1 - h.y0) + (g.x1 - g.x0) * (g.y1 - g.y0) - 2 * inter, 6) AS one FROM pr JOIN bx h ON h.fid = a JOIN bx g ON g.fid = b""")
 def _(t, s):
     """Areas of polygon intersection, difference, union and symmetric difference, by slabs."""
+    import numpy as np
     import pandas as pd
 
-    from plotweave.functions import polygons as pg
+    from plotweave.functions.polygons import paired_areas
 
-    b = boxes(t).select("fid", "x0", "y0", "x1", "y1")
-    p = joins.overlapping_pairs(b, "fid", 16.0).select("a", "b")
-    both = p.join(b.withColumnsRenamed({"fid": "a"} | {c: f"a{c}" for c in ("x0", "y0", "x1", "y1")}), "a").join(b.withColumnsRenamed({"fid": "b"} | {c: f"b{c}" for c in ("x0", "y0", "x1", "y1")}), "b")
+    sides = ("x0", "y0", "x1", "y1")
+    both = joins.box_pairs(boxes(t), "fid", 16.0, sides)
+
+    def rings_of(d: pd.DataFrame, n: str) -> np.ndarray:
+        x0, y0, x1, y1 = (d[f"{c}_{n}"].to_numpy(float) for c in sides)
+        return np.stack([np.stack(p, axis=1) for p in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))], axis=1)
 
     def run(batches):
         for d in batches:
-            out = []
-            for r in d.itertuples(index=False):
-                one, two = ([[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]] for x0, y0, x1, y1 in ((r.ax0, r.ay0, r.ax1, r.ay1), (r.bx0, r.by0, r.bx1, r.by1)))
-                out.append((r.a, r.b, *[round(pg.total_area(f(one, two)), 6) for f in (pg.intersection, pg.difference, pg.union, pg.symmetric_difference)]))
-            yield pd.DataFrame(out, columns=["a", "b", "both", "only_a", "either", "one"])
+            areas = paired_areas(rings_of(d, "a"), rings_of(d, "b"))
+            yield pd.DataFrame({"a": d["a"], "b": d["b"]} | {k: np.round(v, 6) for k, v in zip(("both", "only_a", "either", "one"), areas, strict=True)})
 
     return both.mapInPandas(run, "a long, b long, both double, only_a double, either double, one double")
 

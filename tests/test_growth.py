@@ -259,3 +259,35 @@ def test_measured_heights_of_copies(spark):
     spots = spark.range(20_000).select(F.col("id").alias("fid"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y"), F.lit(5.0).alias("height"))
     drawn = spark.range(20_000).select(F.col("id").alias("oid"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(2.0).alias("x1"), F.lit(2.0).alias("y1"), (F.col("id") + 5.0).alias("h"))
     assert tuple(measured_heights(spots, drawn, 12.0, 16.0).first()) == (20_000, 20_000, 1, 1.0)
+
+
+def test_box_pairs_equal_all_pairs(spark):
+    from plotweave.operators.joins import box_pairs
+
+    box, _ = crowd(random.Random(8), 250)
+    box = [(i, a - 7, b - 7, c - 7 + i % 3 * 0.5, d - 7) for i, a, b, c, d in box if i != 5002]
+    df = spark.createDataFrame(box, "fid long, x0 double, y0 double, x1 double, y1 double")
+    for touch in (False, True):
+        want = {}
+        for i, a, b, c, d in box:
+            for j, p, q, r, s in box:
+                w, h = min(c, r) - max(a, p), min(d, s) - max(b, q)
+                if i < j and ((w >= 0 and h >= 0) if touch else (w > 0 and h > 0)):
+                    want[i, j] = (w * h, c, r)
+        got = box_pairs(df, "fid", 16.0, ("x1",), touch).collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]): (r["inter"], r["x1_a"], r["x1_b"]) for r in got} == want
+
+
+def test_paired_areas_equal_the_single_kernels():
+    import numpy as np
+
+    from plotweave.functions import polygons as pg
+
+    rng = random.Random(9)
+    for k, m in ((4, 4), (3, 5), (6, 4)):
+        one, two = (np.array([[(rng.randrange(12) * 0.5, rng.randrange(12) * 0.5) for _ in range(v)] for _ in range(60)]) for v in (k, m))
+        got = np.stack(pg.paired_areas(one, two), axis=1)
+        for i in range(60):
+            a, b = ([[tuple(p) for p in r[i].tolist()]] for r in (one, two))
+            want = [pg.total_area(f(a, b)) for f in (pg.intersection, pg.difference, pg.union, pg.symmetric_difference)]
+            assert np.allclose(got[i], want, atol=1e-6), (a, b)
