@@ -291,3 +291,19 @@ def test_paired_areas_equal_the_single_kernels():
             a, b = ([[tuple(p) for p in r[i].tolist()]] for r in (one, two))
             want = [pg.total_area(f(a, b)) for f in (pg.intersection, pg.difference, pg.union, pg.symmetric_difference)]
             assert np.allclose(got[i], want, atol=1e-6), (a, b)
+
+
+def test_stacked_equals_a_greedy_walk(spark):
+    from plotweave.operators.conflation import stacked
+
+    box, _ = crowd(random.Random(10), 300)
+    rank = {"lidar": 30, "osm": 20, "none": 0}
+    rows = [(i, i, a, b, c, d, 5.0, ("lidar", "osm", "none")[i % 3]) for i, a, b, c, d in box if i < 5001]
+    kept = []
+    for i, _, a, b, c, d, _, s in sorted(rows, key=lambda r: (-rank[r[7]], -(r[4] - r[2]) * (r[5] - r[3]), r[0])):
+        shared = [max(0.0, min(c, r) - max(a, p)) * max(0.0, min(d, t) - max(b, q)) for _, _, p, q, r, t, _, _ in kept]
+        if max(shared, default=0.0) <= 0 or max(shared) / ((c - a) * (d - b)) < 0.55:
+            kept.append((i, i, a, b, c, d, 5.0, s))
+    got = stacked(spark.createDataFrame(rows, "fid long, ord long, x0 double, y0 double, x1 double, y1 double, height double, source string"), 16.0)
+    assert 10 < len(kept) < 250 and sorted(r["fid"] for r in got.collect()) == sorted(r[0] for r in kept)
+    assert "FlatMapCoGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
