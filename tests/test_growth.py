@@ -318,3 +318,13 @@ def test_turned_boxes_that_touch_or_part_by_a_hair(spark):
         assert sorted(tuple(r) for r in turned_overlaps(b, "id", side).collect()) == [(1, 2), (1, 6), (3, 6), (4, 5)]
     names = turned_overlaps(b, "id", 24.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "_g" in names, "only the classes that can own a pair are joined"
+
+
+def test_podiums_of_boxes_without_height_and_of_equal_ones(spark):
+    from plotweave.operators.conflation import podiums
+
+    row = lambda i, x, h: (i, x, 0.0, x + 4, 4.0, h)
+    f = spark.createDataFrame([row(1, 0.0, 10.0), row(2, 1.0, 4.0), row(3, 2.0, 4.1), row(4, 3.0, None), row(5, 50.0, 0.0), row(6, 50.0, 0.0)], "fid long, x0 double, y0 double, x1 double, y1 double, height double")
+    got = podiums(f, 16.0)
+    assert sorted(tuple(r) for r in got.collect()) == [(2, 1), (5, 6)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
