@@ -72,8 +72,7 @@ def vertex_centroid(r) -> Column:
 
 def area_centroid(r) -> Column:
     cross = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
-    a6 = 6 * signed_area(r)
-    return point(_total(_pairs(col(r), lambda p, q: (p["x"] + q["x"]) * cross(p, q))) / a6, _total(_pairs(col(r), lambda p, q: (p["y"] + q["y"]) * cross(p, q))) / a6)
+    return let(6 * signed_area(r), lambda a6: point(_total(_pairs(col(r), lambda p, q: (p["x"] + q["x"]) * cross(p, q))) / a6, _total(_pairs(col(r), lambda p, q: (p["y"] + q["y"]) * cross(p, q))) / a6))
 
 
 def bounds(r) -> Column:
@@ -109,21 +108,33 @@ def circle(x, y, diameter, sides: int = 12) -> Column:
 
 def second_moments(r) -> Column:
     """struct<area, cx, cy, xx, yy, xy> of a ring, moments about its area centroid, per unit of area."""
+    return let(col(r), _second_moments)
+
+
+def _second_moments(r) -> Column:
     r = col(r)
     cross = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
-    a = signed_area(r)
-    c = area_centroid(r)
-    xx = _total(_pairs(r, lambda p, q: (p["x"] * p["x"] + p["x"] * q["x"] + q["x"] * q["x"]) * cross(p, q))) / (12 * a) - c["x"] * c["x"]
-    yy = _total(_pairs(r, lambda p, q: (p["y"] * p["y"] + p["y"] * q["y"] + q["y"] * q["y"]) * cross(p, q))) / (12 * a) - c["y"] * c["y"]
-    xy = _total(_pairs(r, lambda p, q: (p["x"] * q["y"] + 2 * p["x"] * p["y"] + 2 * q["x"] * q["y"] + q["x"] * p["y"]) * cross(p, q))) / (24 * a) - c["x"] * c["y"]
-    return F.struct(F.abs(a).alias("area"), c["x"].alias("cx"), c["y"].alias("cy"), xx.alias("xx"), yy.alias("yy"), xy.alias("xy"))
+
+    def about(a: Column, c: Column) -> Column:
+        xx = _total(_pairs(r, lambda p, q: (p["x"] * p["x"] + p["x"] * q["x"] + q["x"] * q["x"]) * cross(p, q))) / (12 * a) - c["x"] * c["x"]
+        yy = _total(_pairs(r, lambda p, q: (p["y"] * p["y"] + p["y"] * q["y"] + q["y"] * q["y"]) * cross(p, q))) / (12 * a) - c["y"] * c["y"]
+        xy = _total(_pairs(r, lambda p, q: (p["x"] * q["y"] + 2 * p["x"] * p["y"] + 2 * q["x"] * q["y"] + q["x"] * p["y"]) * cross(p, q))) / (24 * a) - c["x"] * c["y"]
+        return F.struct(F.abs(a).alias("area"), c["x"].alias("cx"), c["y"].alias("cy"), xx.alias("xx"), yy.alias("yy"), xy.alias("xy"))
+
+    return let(signed_area(r), lambda a: let(area_centroid(r), lambda c: about(a, c)))
 
 
 def ellipse_axes(r) -> Column:
     """struct<major, minor>: full axes of the ellipse with the ring's second moments."""
-    m = second_moments(r)
-    mid, gap = (m["xx"] + m["yy"]) / 2, F.sqrt(F.pow((m["xx"] - m["yy"]) / 2, F.lit(2)) + m["xy"] * m["xy"])
-    return F.struct((4 * F.sqrt(mid + gap)).alias("major"), (4 * F.sqrt(F.greatest(mid - gap, F.lit(0.0)))).alias("minor"))
+    return let(col(r), _ellipse_axes)
+
+
+def _ellipse_axes(r) -> Column:
+    def of(m: Column) -> Column:
+        mid, gap = (m["xx"] + m["yy"]) / 2, F.sqrt(F.pow((m["xx"] - m["yy"]) / 2, F.lit(2)) + m["xy"] * m["xy"])
+        return F.struct((4 * F.sqrt(mid + gap)).alias("major"), (4 * F.sqrt(F.greatest(mid - gap, F.lit(0.0)))).alias("minor"))
+
+    return let(second_moments(r), of)
 
 
 def line_length(r) -> Column:
@@ -174,6 +185,10 @@ def polygon_circle(x, y, diameter, unit_x: float, unit_y: float, sides: int = 8)
 def moment_ellipse(moments, sides: int = 16, scale: float = 1.0) -> Column:
     """A closed ring on the ellipse with a ring's second_moments() and its area; the short moment is 0.04 of the long one at
     least. Give the moments as a column, so that they are made once."""
+    return let(col(moments), lambda m: _moment_ellipse(m, sides, scale))
+
+
+def _moment_ellipse(moments, sides: int = 16, scale: float = 1.0) -> Column:
     m = col(moments)
     mid, gap = (m["xx"] + m["yy"]) / 2, F.sqrt(F.greatest(F.pow((m["xx"] - m["yy"]) / 2, F.lit(2)) + m["xy"] * m["xy"], F.lit(0.0)))
     a, b = 2 * F.sqrt(mid + gap), 2 * F.sqrt(F.greatest(mid - gap, (mid + gap) * 0.04))
@@ -199,6 +214,10 @@ def cut_corners(r, most: float) -> Column:
 
 def line_buffer(line, half: float) -> Column:
     """A closed ring around an open line: left sides forwards, right sides backwards, along the neighbours' direction."""
+    return let(col(line), lambda line: _line_buffer(line, half))
+
+
+def _line_buffer(line: Column, half: float) -> Column:
     n = F.size(col(line))
 
     def side(p, i, k):
@@ -215,7 +234,14 @@ def line_buffer(line, half: float) -> Column:
 
 def short_axis_stretched(r, width: float, height: float, span: float = 4.0, slack: float = 0.005) -> Column:
     """A ring stretched to `span` on each axis that is shorter, inside 0..width and 0..height; empty where there is no room."""
-    b = bounds(r)
+    return let(col(r), lambda r: _short_axis_stretched(r, width, height, span, slack))
+
+
+def _short_axis_stretched(r, width: float, height: float, span: float = 4.0, slack: float = 0.005) -> Column:
+    return let(bounds(r), lambda b: _stretched(r, b, width, height, span, slack))
+
+
+def _stretched(r, b: Column, width: float, height: float, span: float, slack: float) -> Column:
 
     def reach(low, high, most):
         mid = (low + high) / 2

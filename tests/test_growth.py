@@ -328,3 +328,14 @@ def test_podiums_of_boxes_without_height_and_of_equal_ones(spark):
     got = podiums(f, 16.0)
     assert sorted(tuple(r) for r in got.collect()) == [(2, 1), (5, 6)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+def test_a_computed_line_and_its_moments_stand_once(spark):
+    from pyspark.sql import functions as F
+
+    from plotweave.functions import rings
+
+    line = F.array(*[rings.point(F.sqrt(F.lit(49.0)) + F.col("id") * 0, F.lit(0.0)), rings.point(F.lit(9.0), F.lit(0.0)), rings.point(F.lit(9.0), F.lit(4.0))])
+    made = {"road": rings.line_buffer(line, 1.5), "moments": rings.second_moments(line), "wide": rings.short_axis_stretched(line, 100.0, 100.0)}
+    for c in made.values():
+        assert spark.range(1).select(c)._jdf.queryExecution().analyzed().toString().split("\n")[0].lower().split(" as ")[0].count("sqrt(49") <= 1
