@@ -90,20 +90,21 @@ def over_limit(profiles: DataFrame, max_docs: int) -> DataFrame:
     return lines.where(F.col("documents") > max_docs).select("_host", "h")
 
 
-def line_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 20, min_left: int = 30) -> tuple[DataFrame, DataFrame]:
+def line_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 20, min_left: int = 30, reread: bool = True) -> tuple[DataFrame, DataFrame]:
     """(verdicts, removed): one verdict row per input row, and the boilerplate line hashes of each (_host, _text_hash).
 
     kept is false for base failures (under 20 words, or over 30 % of them in repeated windows) and for depleted
     documents, of which less than min_left per cent of the words stay. Null texts have no words and fail the base; null
     hosts are one host; repeated rows get equal verdicts; an empty table gives none. Joins key on the text, not on
-    doc_id, so null or repeated ids do no harm.
+    doc_id, so null or repeated ids do no harm. With reread, removed is a scratch table, for those who read it beside the verdicts.
     """
     profiles = written(profile(docs, id_col, text_col, host_col), "quality-profile")
     limits = over_limit(profiles, max_docs)
     keys = ["_host", "_text_hash"]
     lines = profiles.dropDuplicates(keys).select(*keys, F.explode("_normal").alias("_l")).select(F.col("_host").alias("_ehost"), "_text_hash", F.col("_l.h").alias("_eh"), F.col("_l.n").alias("_n"))
     hit = lines.join(limits, F.col("_ehost").eqNullSafe(F.col("_host")) & (F.col("_eh") == F.col("h")))
-    removed = written(hit.groupBy("_ehost", "_text_hash").agg(F.sum("_n").alias("_gone"), F.collect_set("_eh").alias("_hashes")).withColumnRenamed("_text_hash", "_ethash"), "quality-removed")
+    removed = hit.groupBy("_ehost", "_text_hash").agg(F.sum("_n").alias("_gone"), F.collect_set("_eh").alias("_hashes")).withColumnRenamed("_text_hash", "_ethash")
+    removed = written(removed, "quality-removed") if reread else removed
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce(F.col("_gone"), F.lit(0))
     verdicts = (

@@ -30,7 +30,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts, _ = quality.line_frequency(table(spark, sf_dir, "documents"))
+    verdicts, _ = quality.line_frequency(table(spark, sf_dir, "documents"), reread=False)
     return verdicts.drop("_host", "_text_hash")
 
 

@@ -290,3 +290,14 @@ def test_shards_equal_the_walk(spark):
     rows = documents(n=300)
     got = {r["doc_id"]: r["shard"] for r in sharding.ring_shards(frame(spark, rows), shards=5, nodes=16).collect()}
     assert got == walked(rows, 5, 16)
+
+
+def test_line_frequency_query_writes_one_scratch_table(spark, monkeypatch):
+    """The query reads the removed lines once, so only the profiles are written; the verdicts stay the same."""
+    made, written = [], quality.written
+    monkeypatch.setattr(quality, "written", lambda df, tag: made.append(tag) or written(df, tag))
+    got = sorted(map(str, QUERIES["op5_line_frequency"](spark, SF).collect()))
+    assert made == ["quality-profile"]
+    verdicts, removed = quality.line_frequency(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert made == ["quality-profile"] * 2 + ["quality-removed"]
+    assert got == sorted(map(str, verdicts.drop("_host", "_text_hash").collect()))
