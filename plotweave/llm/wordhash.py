@@ -15,8 +15,8 @@ import pyarrow as pa
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
-#: Bytes of text handled at once; longer texts are handled alone.
-CHUNK = 2_000_000
+#: Bytes of text handled at once, and for shingles, whose arrays take some 40 times as much; longer texts are handled alone.
+CHUNK, SHINGLE_CHUNK = 2_000_000, 500_000
 
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: All ASCII characters but digits and letters.
@@ -104,7 +104,7 @@ def shingle_sets(h: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]
 
 def text_shingles(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The shingle set of each text, A-Z in lower case."""
-    for _, _, data, offsets in chunks(texts):
+    for _, _, data, offsets in chunks(texts, SHINGLE_CHUNK):
         data = LOWER[data]
         starts, ends, at = word_spans(data, offsets)
         yield from shingle_sets(span_hashes(data, starts, ends), at, k)

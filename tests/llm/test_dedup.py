@@ -125,3 +125,20 @@ def test_of_rows_that_share_an_id_the_same_stays(spark):
     rows = [(1, f"some text of its own with number {i}", "en", "s", i) for i in range(6)] + [(1, None, "en", "s", 9), (2, "", "en", "s", 0)]
     seen = {tuple(sorted(map(tuple, dedup.deduplicated(frame(spark, r).repartition(k)).collect()))) for r, k in ((rows, 1), (rows[::-1], 3), (rows[3:] + rows[:3], 5))}
     assert len(seen) == 1 and [r[0] for r in next(iter(seen))] == [1, 2] and next(iter(seen))[0][1]
+
+
+def test_shingles_of_a_batch_take_little_memory():
+    """8 MB of texts: chunks of 2 MB took over 60 MB of arrays at once, tables of powers included."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(5)
+    texts = pa.array([" ".join(rng.choice(("alpha", "be", "Gamma", "delta")) + str(rng.randrange(99)) for _ in range(300)) for _ in range(4000)])
+    wordhash._powers.cache_clear()
+    tracemalloc.start()
+    n = sum(len(s) for s in wordhash.text_shingles(texts, 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+    alone = [next(iter(wordhash.text_shingles(texts.slice(i, 1), 5))) for i in range(0, 4000, 97)]
+    assert n > 1_000_000 and all(np.array_equal(s, alone[i // 97]) for i, s in enumerate(wordhash.text_shingles(texts, 5)) if i % 97 == 0)
