@@ -395,3 +395,7 @@ def test_overlaps_send_no_dealt_boxes_to_the_driver(spark, monkeypatch):
 
 def test_points_in_boxes_send_no_dealt_boxes_to_the_driver(spark, monkeypatch):
     assert broadcasts(spark, monkeypatch, "e_points_in_boxes") == 0
+
+
+def test_turned_overlaps_send_no_dealt_boxes_to_the_driver(spark, monkeypatch):
+    assert broadcasts(spark, monkeypatch, "e_turned_overlaps") == 0
