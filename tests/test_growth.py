@@ -399,3 +399,7 @@ def test_points_in_boxes_send_no_dealt_boxes_to_the_driver(spark, monkeypatch):
 
 def test_turned_overlaps_send_no_dealt_boxes_to_the_driver(spark, monkeypatch):
     assert broadcasts(spark, monkeypatch, "e_turned_overlaps") == 0
+
+
+def test_podiums_send_no_dealt_boxes_to_the_driver(spark, monkeypatch):
+    assert broadcasts(spark, monkeypatch, "e_podiums") == 0
