@@ -403,3 +403,14 @@ def test_turned_overlaps_send_no_dealt_boxes_to_the_driver(spark, monkeypatch):
 
 def test_podiums_send_no_dealt_boxes_to_the_driver(spark, monkeypatch):
     assert broadcasts(spark, monkeypatch, "e_podiums") == 0
+
+
+def test_stacked_dedupe_sends_no_dealt_boxes_to_the_driver(spark, monkeypatch):
+    """The rounds may still broadcast ids, whose file tells their size."""
+    from plotweave.operators import stages
+
+    made, stored = [], stages.stored
+    monkeypatch.setattr(stages, "stored", lambda df: made.append(df) or stored(df))
+    catalogue.queries()["e_stacked_dedupe"](spark, "/root/testdata/sf0.001")
+    dealt = [p for p in (df._jdf.queryExecution().executedPlan().toString() for df in made) if "explode" in p]
+    assert dealt and not any("BroadcastExchange" in p for p in dealt)
