@@ -188,23 +188,24 @@ WITH {BOXES}, {_PAIRS} SELECT a, b, round(inter, 6) AS both, round((h.x1 - h.x0)
 def _(t, s):
     """Areas of polygon intersection, difference, union and symmetric difference, by slabs."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     from plotweave.functions.polygons import paired_areas
 
     sides = ("x0", "y0", "x1", "y1")
     both = joins.box_pairs(boxes(t), "fid", 16.0, sides)
 
-    def rings_of(d: pd.DataFrame, n: str) -> np.ndarray:
-        x0, y0, x1, y1 = (d[f"{c}_{n}"].to_numpy(float) for c in sides)
+    def rings_of(d: pa.RecordBatch, n: str) -> np.ndarray:
+        x0, y0, x1, y1 = (d.column(f"{c}_{n}").to_numpy(zero_copy_only=False) for c in sides)
         return np.stack([np.stack(p, axis=1) for p in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))], axis=1)
 
     def run(batches):
         for d in batches:
             areas = paired_areas(rings_of(d, "a"), rings_of(d, "b"))
-            yield pd.DataFrame({"a": d["a"], "b": d["b"]} | {k: np.round(v, 6) for k, v in zip(("both", "only_a", "either", "one"), areas, strict=True)})
+            found = {k: pa.array(np.round(v, 6)) for k, v in zip(("both", "only_a", "either", "one"), areas, strict=True)}
+            yield pa.RecordBatch.from_pydict({k: d.column(k) for k in "ab"} | found)
 
-    return both.mapInPandas(run, "a long, b long, both double, only_a double, either double, one double")
+    return both.mapInArrow(run, "a long, b long, both double, only_a double, either double, one double")
 
 
 @query("p_drop_reasons", f"WITH {BOXES} SELECT coalesce(CASE WHEN height IS NULL THEN 'no height' WHEN (x1 - x0) * (y1 - y0) > 250 THEN 'mega' WHEN (x1 - x0) * (y1 - y0) < 40 THEN 'tiny' END, 'kept') AS reason, count(*) AS n FROM bx GROUP BY 1")
